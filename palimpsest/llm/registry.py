@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import quality
 from .packing import op1_packing
+from .quality import op4_quality
 from .simhash import op8_simhash
 
-QUERIES = {"op1_packing": op1_packing, "op8_simhash": op8_simhash}
+QUERIES = {"op1_packing": op1_packing, "op4_quality": op4_quality, "op8_simhash": op8_simhash}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality": quality.ORACLE}
