@@ -7,8 +7,9 @@ from .langid import op7_langid
 from .packing import op1_packing
 from .quality import op4_quality
 from .simhash import op8_simhash
+from .store import op9_store
 from .urls import op2_urls
 
-QUERIES = {"op1_packing": op1_packing, "op2_urls": op2_urls, "op4_quality": op4_quality, "op7_langid": op7_langid, "op8_simhash": op8_simhash}
+QUERIES = {"op1_packing": op1_packing, "op2_urls": op2_urls, "op4_quality": op4_quality, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_store": op9_store}
 
 ORACLES: dict[str, str] = {"op4_quality": quality.ORACLE}
