@@ -14,8 +14,9 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, stash, table
 from .tokens import slices
@@ -46,17 +47,18 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit number, for every row."""
-    schema = docs.select("doc_id").schema.add("fp", "long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, its fingerprint as a signed 64-bit number, and the columns ``more``, for every row."""
+    kept = docs.select("doc_id", *more)
+    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                made = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
+                made = np.fromiter(map(fingerprint, batch.column(0).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("text", "doc_id", *more).mapInArrow(run, schema)
 
 
 def _keys() -> F.Column:
@@ -159,6 +161,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def classes(made: DataFrame) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of ``made(doc_id, fp)`` and the smallest doc_id of its component."""
+    distinct = stash(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    member = components(links(distinct.select("fp")))
+    linked = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return linked.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, fp (signed), component_id.
 
@@ -168,12 +179,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other columns are ignored.
     """
     made = stash(fingerprints(docs), "fingerprints")
-    distinct = stash(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    member = components(links(distinct.select("fp")))
-    linked = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(root, "root").select("fp", "component_id")
-    return made.join(by_fp, "fp")
+    return made.join(classes(made), "fp").select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of every component of :func:`near_duplicates`, with the columns of ``docs``: the one with the smallest doc_id.
+
+    A component without any doc_id keeps one of its rows; of repeated rows one stays."""
+    made = stash(fingerprints(docs), "fingerprints")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "fp")
+    found = made.join(classes(made), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
+    keep = found.select(F.col("k.doc_id").alias("keep_id"), F.col("k.fp").alias("keep_fp")).select("keep_id", "keep_fp", F.xxhash64(F.col("keep_id").isNull(), "keep_id", "keep_fp").alias("keep_key"))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    rows = fingerprints(docs.select(own, "doc_id", "text"), "own").select("own", "doc_id", "fp", key.alias("row_key"))
+    same = (F.col("row_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
+    one = Window.partitionBy("row_key", "doc_id", "fp").orderBy("fp")
+    return rows.join(keep, same).withColumn("copy", F.row_number().over(one)).where("copy = 1").select("own.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
