@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, retrieval, texts
+from . import context, facts, retrieval, texts
 
-MODULES = (texts, facts, retrieval)
+MODULES = (texts, facts, retrieval, context)
 
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
