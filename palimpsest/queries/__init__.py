@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, context, facts, retrieval, texts
+from . import analysis, context, costs, facts, retrieval, scoring, streams, texts
 
-MODULES = (texts, facts, retrieval, context, analysis)
+MODULES = (texts, facts, retrieval, context, analysis, costs, scoring, streams)
 
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
