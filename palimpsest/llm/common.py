@@ -51,6 +51,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def modest(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Has Spark hand texts to Python in batches of at most ``rows`` rows from now on, as long texts make full batches heavy on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small frame of an iterative job with a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import modest, table
 from .tokens import slices
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 12, 8, 256
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                 lang, score = predict(box.value, batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return modest(docs).mapInArrow(run, schema)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import modest, table
 from .tokens import slices
 
 #: Words of a fingerprint, hashes that compete in a winnow, half the width of the band, and the least coverage that is reported.
@@ -151,7 +151,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, covera
                 cols = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64())))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return modest(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, table
+from .common import modest, stash, table
 from .tokens import encoder, slices
 
 #: Partial windows that one task merges in a round (each has fewer than ``size`` ids).
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, windows: int = 16, e
         out.add(packer.pour(), None, True)
         yield out.batch()
 
-    made = stash(docs.select("doc_id", "text").mapInArrow(windows_of, schema), "packed")
+    made = stash(modest(docs.select("doc_id", "text")).mapInArrow(windows_of, schema), "packed")
     done, left = [made.where(F.col("sequence_id").isNotNull())], made.where(F.col("sequence_id").isNull())
     groups, level = (made.agg(F.max("part")).first()[0] or 0) + 1, 1
     while True:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import modest, table
 from .tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -389,7 +389,7 @@ def scan(docs: DataFrame, mask: bool = False, model: Tagger | None = None) -> Da
                     sha = pa.array([hashlib.sha256(written(sorted(b)).encode()).hexdigest() for b, _ in found], pa.string())
                     yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, pa.array([written(s) for _, s in found], pa.string()), pa.array([len(s) - len(b) for b, s in found], pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return modest(rows).mapInArrow(run, schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

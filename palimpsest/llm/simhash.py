@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stash, table
+from .common import cut, modest, stash, table
 from .tokens import slices
 
 #: Widths of the blocks, from the lowest bit.
@@ -47,18 +47,33 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, its fingerprint as a signed 64-bit number, and the columns ``more``, for every row."""
-    kept = docs.select("doc_id", *more)
-    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and its fingerprint as a signed 64-bit number, for every row."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                made = np.fromiter(map(fingerprint, batch.column(0).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), hashed(batch.column(1))], names=schema.names)
 
-    return docs.select("text", "doc_id", *more).mapInArrow(run, schema)
+    return modest(docs.select("doc_id", "text")).mapInArrow(run, schema)
+
+
+def hashed(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter(map(fingerprint, texts.to_pylist()), np.uint64, len(texts)).view(np.int64))
+
+
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """(own, fp): the whole row of ``docs`` as a struct, whatever its columns are called, and its fingerprint."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
+    schema, at = T.StructType([rows.schema["own"], T.StructField("fp", T.LongType())]), docs.columns.index("text")
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays([batch.column(0), hashed(batch.column(0).field(at))], names=schema.names)
+
+    return modest(rows).mapInArrow(run, schema)
 
 
 def _keys() -> F.Column:
@@ -190,8 +205,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "fp")
     found = made.join(classes(made), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
     keep = found.select(F.col("k.doc_id").alias("keep_id"), F.col("k.fp").alias("keep_fp")).select("keep_id", "keep_fp", F.xxhash64(F.col("keep_id").isNull(), "keep_id", "keep_fp").alias("keep_key"))
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
-    rows = fingerprints(docs.select(own, "doc_id", "text"), "own").select("own", "doc_id", "fp", key.alias("row_key"))
+    rows = fingerprinted(docs).select("own", F.col("own.doc_id").alias("doc_id"), "fp").select("own", "doc_id", "fp", key.alias("row_key"))
     same = (F.col("row_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
     one = Window.partitionBy("row_key", "doc_id", "fp").orderBy("fp")
     return rows.join(keep, same).withColumn("copy", F.row_number().over(one)).where("copy = 1").select("own.*")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, table
+from .common import modest, scratch, table
 from .tokens import encoder, slices
 
 #: Ids that the rolling hash looks back on, and the least, usual and greatest length of a chunk.
@@ -128,7 +128,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     # equal chunks meet in one task by name, of which each task has sent one; recipes are dealt by their own root and document
-    dealt = docs.select("doc_id", "text").mapInArrow(chunked, made).repartition(F.xxhash64("name", "doc_id"))
+    dealt = modest(docs.select("doc_id", "text")).mapInArrow(chunked, made).repartition(F.xxhash64("name", "doc_id"))
     dealt.mapInArrow(once, made).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
     recipes = spark.read.schema(made).parquet(f"{path}/content").where("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", F.col("name").alias("root"))
     order = ["doc_id", "root", "n_tokens"]
