@@ -6,7 +6,7 @@ recipe lists a document's chunk names in order, with the Merkle root over them;
 root over those. Reading verifies every chunk against its name and every document against its root.
 
 Layout below the store's path, all Parquet: ``content/kind=chunk`` (name, ids, n_tokens), ``ordered/kind=recipe`` (part, within,
-doc_id, n_tokens, chunks, root; in doc_id order over files and rows) and ``manifest`` (part, first, documents, tokens, root). A
+doc_id, n_tokens, chunks, root; in doc_id order over files and rows) and ``manifest`` (part, first, documents, tokens, root, last_doc_id). A
 document's place among all ids is its part's ``first`` plus its own ``within``.
 """
 
@@ -69,18 +69,21 @@ def merkle(names: list[bytes]) -> bytes:
     return level[0]
 
 
+def _layout(doc_id: T.DataType) -> tuple[T.StructType, T.StructType]:
+    """The schemas of ``content`` and ``ordered``."""
+    field, chunk = T.StructField, T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType())])
+    content = [field("kind", T.StringType()), field("name", T.BinaryType()), field("ids", T.BinaryType()), field("doc_id", doc_id), field("n_tokens", T.LongType()), field("chunks", T.ArrayType(chunk))]
+    ordered = [content[0], field("part", T.LongType()), field("within", T.LongType()), *content[3:], field("root", T.BinaryType())]
+    return T.StructType(content), T.StructType(ordered)
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Writes all ``docs(doc_id, text)`` to a store at ``path``.
 
     Every row is a document: a null or empty text has the end id alone; rows are ordered by doc_id (null first), equal ids by their
     content, so repeated rows stand side by side; other columns are ignored; an empty table gives an empty store."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType
-    made = T.StructType([
-        T.StructField("kind", T.StringType()), T.StructField("name", T.BinaryType()), T.StructField("ids", T.BinaryType()),
-        T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()),
-        T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType())]))),
-    ])
+    made, ordered = _layout(docs.schema["doc_id"].dataType)
 
     def chunked(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -132,33 +135,34 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     dealt.mapInArrow(once, made).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
     recipes = spark.read.schema(made).parquet(f"{path}/content").where("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", F.col("name").alias("root"))
     order = ["doc_id", "root", "n_tokens"]
-    ordered = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.LongType()), T.StructField("within", T.LongType()), *recipes.schema.fields])
 
     def placed(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, part, at, roots = to_arrow_schema(ordered), TaskContext.get().partitionId(), 0, []
+        schema, part, at, roots, last_id = to_arrow_schema(ordered), TaskContext.get().partitionId(), 0, [], None
         for batch in batches:
             n, rows = batch.column("n_tokens").to_numpy(), batch.num_rows
             within = at + np.cumsum(n) - n
             at += int(n.sum())
             roots += batch.column("root").to_pylist()
+            last_id = batch.column("doc_id")[rows - 1].as_py() if rows else last_id
             yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * rows), pa.array([part] * rows, pa.int64()), pa.array(within, pa.int64()), *(batch.column(f).cast(schema.field(f).type) for f in ("doc_id", "n_tokens", "chunks", "root"))], schema=schema)
         if roots:
-            last = {"kind": "part", "part": part, "within": len(roots), "doc_id": None, "n_tokens": at, "chunks": None, "root": merkle(roots)}
+            last = {"kind": "part", "part": part, "within": len(roots), "doc_id": last_id, "n_tokens": at, "chunks": None, "root": merkle(roots)}
             yield pa.RecordBatch.from_pylist([last], schema=schema)
 
     recipes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(placed, ordered).write.partitionBy("kind").parquet(f"{path}/ordered")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = spark.read.schema(ordered).parquet(f"{path}/ordered").where("kind = 'part'")  # one row a file
-    parts.select("part", before.alias("first"), F.col("within").alias("documents"), F.col("n_tokens").alias("tokens"), "root").coalesce(1).write.parquet(f"{path}/manifest")
+    parts.select("part", before.alias("first"), F.col("within").alias("documents"), F.col("n_tokens").alias("tokens"), "root", F.col("doc_id").alias("last_doc_id")).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Chunks (name, ids, n, crc) and their uses (start, doc_id, n_tokens, name, pos, after), each checked against its hash as it is read."""
-    chunks = spark.read.parquet(f"{path}/content").where("kind = 'chunk'").select("name", "ids", "n_tokens")
-    recipes = spark.read.parquet(f"{path}/ordered").where("kind = 'recipe'").select("part", "within", "doc_id", "n_tokens", "chunks", "root")
-    manifest = spark.read.parquet(f"{path}/manifest").select("part", "first")
+    whole = spark.read.parquet(f"{path}/manifest")
+    manifest, (content, ordered) = whole.select("part", "first"), _layout(whole.schema["last_doc_id"].dataType)
+    chunks = spark.read.schema(content).parquet(f"{path}/content").where("kind = 'chunk'").select("name", "ids", "n_tokens")
+    recipes = spark.read.schema(ordered).parquet(f"{path}/ordered").where("kind = 'recipe'").select("part", "within", "doc_id", "n_tokens", "chunks", "root")
 
     def check(batches):
         for batch in batches:
