@@ -13,8 +13,8 @@ from itertools import repeat
 
 import numpy as np
 
-#: Words that a worker remembers; beyond it the memory starts anew (about 150 bytes a word).
-REMEMBER = 1_200_000
+#: Words that a worker remembers (about 200 bytes each); beyond it only those of the texts at hand are kept.
+REMEMBER = 500_000
 #: Words that one call of the tokenizer encodes together.
 JOIN = 64
 #: A space before other white space, and the white space that is not ASCII: texts with these are cut word by word.
@@ -22,6 +22,14 @@ RUNS = ("  ", " \t", " \n", " \x0b", " \x0c", " \r")
 RARE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def gathered(ids: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words ``which``, end to end, and where each ends; word i has ids[ends[i] : ends[i + 1]]."""
+    starts = ends[which]
+    lengths = ends[which + 1] - starts
+    total = np.cumsum(lengths)
+    return (ids[np.repeat(starts - total + lengths, lengths) + np.arange(total[-1])] if len(which) else np.zeros(0, ids.dtype)), total
+
+
 class BatchEncoder:
     """Encodes lists of texts; keeps the ids of words already seen, up to ``remember`` of them."""
 
@@ -37,10 +45,18 @@ class BatchEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.forget()
 
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
+    def forget(self, but: set | None = None) -> None:
+        """Forgets all words, or all that are not in ``but``."""
+        old = [(w, self.index[w]) for w in but if w in self.index] if but else []
+        if old:
+            words, at = zip(*old)
+            ids, ends = np.frombuffer(self.ids, self.dtype), np.frombuffer(self.ends, np.int64)
+            kept, stops = gathered(ids, ends, np.array(at))
+        self.index: dict = {}
         self.ids = array("H" if self.dtype.itemsize == 2 else "I")
         self.ends = array("q", [0])
+        if old:
+            self.add(words, kept, stops)
 
     def learn(self, pieces: set) -> None:
         """Keys are words without the one space before them, or tuples with text as it stands.
@@ -59,7 +75,7 @@ class BatchEncoder:
         for piece, got in zip(rest, self.tokenizer.encode_batch_fast([p[0] for p in rest], add_special_tokens=False)):
             self.add([piece], np.array(got.ids, self.dtype), np.array([len(got.ids)]))
 
-    def add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def add(self, pieces, ids: np.ndarray, ends: np.ndarray) -> None:
         first, at = len(self.ends) - 1, len(self.ids)
         self.index.update(zip(pieces, range(first, first + len(pieces))))
         self.ids.frombytes(ids.tobytes())
@@ -91,22 +107,17 @@ class BatchEncoder:
                 flat += got
                 counts[i] = len(got)
         if len(self.index) > self.remember:
-            self.forget()
+            self.forget(set(flat))
         which = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
         if len(missing := np.flatnonzero(which < 0)):
             unknown = [flat[i] for i in missing.tolist()]
             self.learn(set(unknown))
             which[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
-        ids, ends = np.frombuffer(self.ids, self.dtype), np.frombuffer(self.ends, np.int64)
-        starts = ends[which]
-        lengths = ends[which + 1] - starts
-        total = np.cumsum(lengths)
-        out = ids[np.repeat(starts - total + lengths, lengths) + np.arange(total[-1])] if len(which) else np.zeros(0, self.dtype)
+        out, total = gathered(np.frombuffer(self.ids, self.dtype), np.frombuffer(self.ends, np.int64), which)
         stops = np.concatenate([[0], total])[np.cumsum(counts)]
         if end is not None:
             out = np.insert(out, stops, end)
             stops = stops + np.arange(1, len(texts) + 1)
-        del ids, ends  # views would keep the arrays from growing
         return out, stops
 
 
@@ -120,7 +131,7 @@ def encoder(path: str) -> BatchEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch, most_bytes: int = 4 << 20):
+def slices(batch, most_bytes: int = 1 << 20):
     """An Arrow batch in slices of about ``most_bytes``, so that long texts don't pile up in memory; a text is never cut."""
     size = max(1, batch.nbytes // max(1, batch.num_rows))
     step = max(1, most_bytes // size)
