@@ -51,7 +51,9 @@ def hybrid(text: Column) -> Column:
 
 def stem(word: Column, pack: RulePack = LATIN) -> Column:
     """Peels endings off until none is left or one character remains."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), word, lambda w, _: F.when(F.length(w) > 1, F.regexp_replace(w, pack.endings, "")).otherwise(w))
+    once = lambda w: F.when(F.length(w) > 1, F.regexp_replace(w, pack.endings, "")).otherwise(w)
+    peeled = F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), word, lambda w, _: once(w))
+    return F.when(word.rlike(pack.endings), peeled).otherwise(word)  # most words have no ending and are looked at once
 
 
 def bare(word: Column) -> Column:

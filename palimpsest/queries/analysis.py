@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import text as T
 from ..operators import retrieval as ops
-from .base import Book, table
+from .base import Book, saved, table
 from .retrieval import BM25, corpus, gold, importance, scores
 
 book = Book()
@@ -28,13 +28,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(last, "doc_id", "left").join(some, "doc_id", "left")
 
 
-def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(arm, query_id, doc_id) picks of the seven policies that pick documents one by one; what is picked twice stays twice."""
-    docs, g = documents(spark, sf_dir), gold(spark, sf_dir)
+def arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(arm, query_id, doc_id) picks of the seven policies that pick documents one by one, and the gold pairs; what is picked twice stays twice."""
+    docs, g = documents(spark, sf_dir), saved(gold(spark, sf_dir), "gold")
     probes = g.select("query_id").distinct()
-    ranked = ops.ranked(scores(spark, sf_dir)).join(probes, "query_id")
-    labelled = ops.ranked(scores(spark, sf_dir).join(importance(spark, sf_dir), "doc_id")).join(probes, "query_id")
-    rel = ops.normalised(scores(spark, sf_dir).join(importance(spark, sf_dir), "doc_id")).join(probes, "query_id").withColumn("relevance", F.round("relevance", 6))
+    scored = saved(scores(spark, sf_dir).join(probes, "query_id", "left_semi"), "scores")
+    ranked = ops.ranked(scored)
+    known = scored.join(importance(spark, sf_dir), "doc_id")
+    labelled = ops.ranked(known)
+    rel = ops.normalised(known).withColumn("relevance", F.round("relevance", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id")
     kept = rel.where((F.col("importance") >= TAU) & (F.col("relevance") >= THETA)).withColumn("s", F.round(C.relevance_weight * F.col("relevance") + C.importance_weight * F.col("importance"), 6))
     kept = kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= C.top_k)
@@ -49,7 +51,7 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         for p in picks:
             p = p.select(F.lit(arm).alias("arm"), "query_id", "doc_id")
             out = p if out is None else out.unionByName(p)
-    return out
+    return out, g
 
 
 ARMS = f"""{BM25}, dt AS (SELECT doc_id, {TOK} AS tokens, row_number() OVER (ORDER BY doc_id DESC) AS back, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) AS shuffled FROM documents),
@@ -68,7 +70,8 @@ picks AS (SELECT 'oracle' AS arm, query_id, doc_id FROM gold UNION ALL SELECT 'w
 SELECT arm, count(*) AS probes, round(avg((hits > 0)::INT), 6)::DOUBLE AS recall, round(sum(hits) / sum(greatest(picked, 1)), 6)::DOUBLE AS precision, round(avg(tokens), 4)::DOUBLE AS tokens, avg(tokens) + {C.fixed_blocks} <= {C.budget} AS within_budget FROM m GROUP BY 1""")
 def arm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, precision, tokens and budget of the selection policies."""
-    picks = arms(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "tokens"), "doc_id").join(gold(spark, sf_dir).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    picks, g = arms(spark, sf_dir)
+    picks = picks.join(documents(spark, sf_dir).select("doc_id", "tokens"), "doc_id").join(g.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     m = picks.groupBy("arm", "query_id").agg(F.count("*").alias("picked"), F.count("hit").alias("hits"), F.sum("tokens").alias("tokens"))
     return m.groupBy("arm").agg(
         F.count("*").alias("probes"), F.round(F.avg((F.col("hits") > 0).cast("int")), 6).alias("recall"), F.round(F.sum("hits") / F.sum(F.greatest("picked", F.lit(1))), 6).alias("precision"),
@@ -154,8 +157,8 @@ GRID = [(t, k, h) for t in TAUS for k in KS for h in THETAS]
 
 def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tau, k, theta, hits, noise, tokens) of the retriever over a grid of parameters, in one plan."""
-    probes = gold(spark, sf_dir)
-    rel = ops.normalised(scores(spark, sf_dir).join(importance(spark, sf_dir), "doc_id")).join(probes.select("query_id").distinct(), "query_id").withColumn("relevance", F.round("relevance", 6))
+    probes = saved(gold(spark, sf_dir), "gold")
+    rel = ops.normalised(scores(spark, sf_dir).join(probes, "query_id", "left_semi").join(importance(spark, sf_dir), "doc_id")).withColumn("relevance", F.round("relevance", 6))
     rel = rel.withColumn("s", F.round(C.relevance_weight * F.col("relevance") + C.importance_weight * F.col("importance"), 6))
     rel = rel.join(probes.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").join(table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens")), "doc_id")
     cuts = F.array(*(F.struct(F.lit(t).alias("tau"), F.lit(h).alias("theta")) for t in TAUS for h in THETAS))

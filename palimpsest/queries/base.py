@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..streaming import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read back, for a frame that several branches of a plan use."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Book:
     """Collects the queries of a module."""
 

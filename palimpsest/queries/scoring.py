@@ -10,7 +10,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import episodes
 from ..operators import retrieval as ops
-from . import analysis, context
+from . import context
 from .analysis import ARMS, arms
 from .base import Book, table
 from .context import items, turns
@@ -114,7 +114,8 @@ j AS (SELECT o.arm, o.ok, t.ok AS oracle, w.ok AS base FROM ok o JOIN ok t ON t.
 SELECT arm, count(*) AS questions, sum(ok)::BIGINT AS right_answers, count(*) FILTER (WHERE oracle = 0) AS use_failures, count(*) FILTER (WHERE oracle = 1 AND ok = 0) AS search_failures, count(*) FILTER (WHERE ok = 1 AND base = 0) AS beats_window FROM j GROUP BY 1""")
 def layer_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each policy fails, by comparison with the oracle's and the window's answers."""
-    ok = arms(spark, sf_dir).join(gold(spark, sf_dir).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").groupBy("arm", "query_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("ok"))
+    picks, g = arms(spark, sf_dir)
+    ok = picks.join(g.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").groupBy("arm", "query_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("ok"))
     arm = lambda name, col: ok.where(F.col("arm") == name).select("query_id", F.col("ok").alias(col))
     j = ok.join(arm("oracle", "oracle"), "query_id").join(arm("window", "base"), "query_id")
     return j.groupBy("arm").agg(
