@@ -24,7 +24,7 @@ def duck(data):
 def rows(df: pd.DataFrame) -> list:
     def plain(v):
         v = v.tolist() if hasattr(v, "tolist") else v
-        if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
