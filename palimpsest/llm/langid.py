@@ -153,8 +153,8 @@ def learn(docs: DataFrame, per_language: int = LEARN_DOCS) -> dict | None:
     usable = docs.where(~F.coalesce(held_out(), F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     from pyspark.sql import Window
 
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("bucket", F.pmod(F.xxhash64("lang", "doc_id"), F.lit(256)))
-    for group in (["lang", "bucket"], ["lang"]):  # so no task sees more than 256 times per_language rows of a language
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("bucket", F.pmod(F.xxhash64("lang", "doc_id"), F.lit(16)))
+    for group in (["lang", "bucket"], ["lang"]):  # so the last task of a language sees at most 16 times per_language rows
         order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
         chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     ids = [r.doc_id for r in chosen.select("doc_id").collect()]
