@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import modest, stash, table
-from .tokens import encoder, slices
+from .tokens import MORE_BYTES, REMEMBER, REMEMBER_MORE, encoder, slices
 
 #: Partial windows that one task merges in a round (each has fewer than ``size`` ids).
 MERGE = 256
@@ -104,13 +104,14 @@ class Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema)], schema=self.schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, windows: int = 16, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, windows: int = 16, end_id: int = 1, with_ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """Packs ``docs(doc_id, text)`` into sequences of at most ``size`` ids, a power of two. One row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if ``with_ids``, ids (little-endian
     unsigned 32-bit). A null or empty text is a document of the end id alone; a null doc_id stays null; repeated rows are
     packed each; an empty table gives no rows; other columns of ``docs`` are ignored. Sequences have ``size`` ids, but for
-    the last few of the corpus, whose lengths are powers of two. A task holds ``windows`` open windows, whatever it reads.
+    the last few of the corpus, whose lengths are powers of two. A task holds ``windows`` open windows, whatever it reads, and
+    ``remember`` words of the encoder.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -125,9 +126,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, windows: int = 16, e
 
         out = Rows(to_arrow_schema(schema), TaskContext.get().partitionId() << 32, with_ids)
         packer = Packer(size, windows, out.emit)
-        encode = encoder(tokenizer)
+        encode, most = encoder(tokenizer, remember), MORE_BYTES if remember >= REMEMBER_MORE else MORE_BYTES // 4
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most):
                 ids, stops = encode(batch.column(1).to_pylist(), end_id)
                 at = 0
                 for doc, stop in zip(batch.column(0).to_pylist(), stops.tolist()):
@@ -193,4 +194,4 @@ def fill_first(pieces: list, size: int, into: list) -> list:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, remember=REMEMBER_MORE)

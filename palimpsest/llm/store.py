@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import modest, scratch, table
-from .tokens import encoder, slices
+from .tokens import MORE_BYTES, REMEMBER_MORE, encoder, slices
 
 #: Ids that the rolling hash looks back on, and the least, usual and greatest length of a chunk.
 REACH, LEAST, USUAL, GREATEST = 8, 64, 512, 4096
@@ -88,9 +88,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     def chunked(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, encode, sent = to_arrow_schema(made), encoder(tokenizer), set()
+        schema, encode, sent = to_arrow_schema(made), encoder(tokenizer, REMEMBER_MORE), set()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, MORE_BYTES):
                 ids, stops = encode(batch.column(1).to_pylist(), end_id)
                 raw, width = memoryview(ids.tobytes()), ids.dtype.itemsize
                 names, blobs, sizes, recipes, at, ends = [], [], [], [], 0, iter(cuts(ids, stops, len(encode.spaced)))

@@ -15,6 +15,8 @@ import numpy as np
 
 #: Words that a worker remembers (about 200 bytes each); beyond it only those of the texts at hand are kept.
 REMEMBER = 500_000
+#: The same where a job does nothing but tokenize, and bytes of text that it then takes at once: less work for more memory.
+REMEMBER_MORE, MORE_BYTES = 1_200_000, 4 << 20
 #: Words that one call of the tokenizer encodes together.
 JOIN = 64
 #: A space before other white space, and the white space that is not ASCII: texts with these are cut word by word.
@@ -124,10 +126,11 @@ class BatchEncoder:
 _ENCODERS: dict[str, BatchEncoder] = {}
 
 
-def encoder(path: str) -> BatchEncoder:
+def encoder(path: str, remember: int = REMEMBER) -> BatchEncoder:
     """The worker's own encoder of a tokenizer file; it lives as long as the worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = BatchEncoder(path)
+    _ENCODERS[path].remember = remember
     return _ENCODERS[path]
 
 
