@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import copies
 from .common import cut, modest, stash, table
 from .tokens import slices
 
@@ -63,15 +64,15 @@ def hashed(texts: pa.Array) -> pa.Array:
     return pa.array(np.fromiter(map(fingerprint, texts.to_pylist()), np.uint64, len(texts)).view(np.int64))
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(own, fp): the whole row of ``docs`` as a struct, whatever its columns are called, and its fingerprint."""
+def named(docs: DataFrame) -> DataFrame:
+    """(own, fp): the whole row of ``docs`` as a struct, whatever its columns are called, and the name of its set of shingles."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
     schema, at = T.StructType([rows.schema["own"], T.StructField("fp", T.LongType())]), docs.columns.index("text")
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([batch.column(0), hashed(batch.column(0).field(at))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), copies.names(batch.column(0).field(at))], names=schema.names)
 
     return modest(rows).mapInArrow(run, schema)
 
@@ -176,10 +177,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def classes(made: DataFrame) -> DataFrame:
-    """(fp, root) for every distinct fingerprint of ``made(doc_id, fp)`` and the smallest doc_id of its component."""
+def classes(made: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of ``made(doc_id, fp)`` and the smallest doc_id of its component; ``edges`` other than those of :func:`links` may be given."""
     distinct = stash(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    member = components(links(distinct.select("fp")))
+    member = components(links(distinct.select("fp")) if edges is None else edges)
     linked = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return linked.join(least, "root").select("fp", "root", "component_id")
@@ -198,14 +199,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of every component of :func:`near_duplicates`, with the columns of ``docs``: the one with the smallest doc_id.
+    """One row of every group of near copies, with the columns of ``docs``: the one with the smallest doc_id.
 
-    A component without any doc_id keeps one of its rows; of repeated rows one stays."""
-    made = stash(fingerprints(docs), "fingerprints")
+    Not by fingerprints: links are sets of 5-word shingles with a Jaccard similarity of at least 0.8 (:mod:`copies`), groups what links
+    join. A group without any doc_id keeps one of its rows; of repeated rows one stays; texts without a word are copies of each other."""
+    made = stash(copies.sketches(docs), "sketches")
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "fp")
-    found = made.join(classes(made), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
+    found = made.select("doc_id", "fp").join(classes(made, copies.links(docs, made)), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
     keep = found.select(F.col("k.doc_id").alias("keep_id"), F.col("k.fp").alias("keep_fp")).select("keep_id", "keep_fp", F.xxhash64(F.col("keep_id").isNull(), "keep_id", "keep_fp").alias("keep_key"))
-    rows = fingerprinted(docs).select("own", F.col("own.doc_id").alias("doc_id"), "fp").select("own", "doc_id", "fp", key.alias("row_key"))
+    rows = named(docs).select("own", F.col("own.doc_id").alias("doc_id"), "fp").select("own", "doc_id", "fp", key.alias("row_key"))
     same = (F.col("row_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
     one = Window.partitionBy("row_key", "doc_id", "fp").orderBy("fp")
     return rows.join(keep, same).withColumn("copy", F.row_number().over(one)).where("copy = 1").select("own.*")

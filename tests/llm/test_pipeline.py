@@ -2,11 +2,12 @@
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import langid, mixing, pii
+from palimpsest.llm import copies, langid, mixing, pii
 from palimpsest.llm.common import stash
 
 from .test_operators import brute_components, brute_fingerprint
@@ -48,3 +49,36 @@ def test_run_gives_the_last_stage(spark, data):
     made = corpus_pipeline.run(spark, data)
     assert made.count() > 0 and {"doc_id", "start", "length", "ids", "sequence_id", "offset"} <= set(made.columns)
     assert made.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def jaccard_groups(texts):
+    """Groups of sets of 5-word shingles that agree by at least 0.8, by comparing all pairs."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_near_dedup_takes_all_pairs_of_similarity_four_fifths(spark, data, monkeypatch, most):
+    monkeypatch.setattr(copies, "MOST", most)  # with 5, crowded keys are split into parts
+    r = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10_000, n)]
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    for n in (20, 60, 100, 200, 600):
+        for changes in (1, 2, 4):
+            own = word(n)
+            other = list(own)
+            for at in np.linspace(10, n - 10, changes).astype(int):
+                other[at] = "changed"
+            rows += [(1000 + len(rows), " ".join(own)), (1000 + len(rows) + 1, " ".join(other))]
+    own = word(100)
+    rows += [(5000 + i, " ".join([*own, "more", str(i)])) for i in range(40)]
+    group = jaccard_groups([t for _, t in rows])
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), data)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(rows[g][0] for g in set(group))
