@@ -58,15 +58,15 @@ class Mixture:
     """Raking factors: ``sources`` is a frame (s, a), ``languages`` and ``topics`` are dictionaries; ``rate`` makes the largest weight a probability of 1."""
 
     def __init__(self, rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = FLATTEN, sweeps: int = SWEEPS):
-        """Rakes ``rows(s, l, t, tokens)``. ``targets`` may give shares by name under ``language`` or ``topic``, where a group that
-        is not named gets none; all others are the corpus's own shares to the power ``power``, made to sum to one."""
+        """Rakes ``rows(s, l, t, tokens)``. ``targets`` may give shares by name under ``source``, ``language`` or ``topic``, where a group
+        that is not named gets none; all others are the corpus's own shares to the power ``power``, made to sum to one. Those of
+        sources may also be a frame (s, goal), as they can be very many."""
         targets = targets or {}
+        if unknown := set(targets) - {"source", "language", "topic"}:
+            raise ValueError(f"unknown targets: {', '.join(sorted(unknown))}")
         cells = rows.groupBy("s", "l", "t").agg(F.sum("tokens").cast("double").alias("n"))
         cells = stash(cells, "cells")
-        sources = cells.groupBy("s").agg(F.sum("n").alias("n"))
-        grown = sources.agg(F.sum(F.pow("n", F.lit(power)))).first()[0] or 1.0
-        goal = sources.select("s", (F.pow("n", F.lit(power)) / F.lit(grown)).alias("goal"))
-        cells = stash(cells.join(goal, "s"), "cells_with_goals")
+        cells = stash(self._with_goals(cells, targets.get("source"), power), "cells_with_goals")
         margins = {(r.l, r.t): r.n for r in cells.groupBy("l", "t").agg(F.sum("n").alias("n")).collect()}
         self.whole = sum(margins.values())
         want = []
@@ -87,6 +87,17 @@ class Mixture:
         most = cells.join(self.sources, "s").agg(F.max(self.weight())).first()[0]
         self.rate = 1 / most if most else 1.0
 
+    @staticmethod
+    def _with_goals(cells: DataFrame, given: dict[str, float] | DataFrame | None, power: float) -> DataFrame:
+        if isinstance(given, dict) and given:
+            given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], "s string, goal double")
+        if isinstance(given, DataFrame):
+            named = given.select(F.coalesce(F.col("s").cast("string"), F.lit(MISSING)).alias("s"), F.col("goal").cast("double").alias("goal")).groupBy("s").agg(F.sum("goal").alias("goal"))
+            return cells.join(named, "s", "left").select(*cells.columns, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        sources = cells.groupBy("s").agg(F.sum("n").alias("n"))
+        grown = sources.agg(F.sum(F.pow("n", F.lit(power)))).first()[0] or 1.0
+        return cells.join(sources.select("s", (F.pow("n", F.lit(power)) / F.lit(grown)).alias("goal")), "s")
+
     @staticmethod
     def _sources(cells: DataFrame, b: dict, c: dict) -> DataFrame:
         """Source factors that set the source margin right, given the others."""
@@ -139,7 +150,8 @@ k AS MATERIALIZED (SELECT doc_id, coalesce(source, '{MISSING}') AS s, coalesce(l
     CASE WHEN 50 * {count('[|]')} > length(text) THEN 'tabular' WHEN 20 * {count('[#*$%&<>]')} > length(text) THEN 'symbols'
     WHEN 20 * {count('!')} > length(text) THEN 'shouting' WHEN 20 * {count(chr(92) + 'n')} > length(text) THEN 'listing'
     WHEN length(text) < 300 THEN 'short' ELSE 'prose' END AS t,
-    greatest(1, len(regexp_extract_all(text, '[^ 	-]+')))::BIGINT AS tokens
+    greatest(1, len(regexp_extract_all(text, '[^ 	-
+]+')))::BIGINT AS tokens
     FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM {base})),
 cell AS MATERIALIZED (SELECT s, l, t, sum(tokens)::DOUBLE AS n FROM k GROUP BY ALL),
 gs AS MATERIALIZED (SELECT s, pow(sum(n), {power}) / sum(pow(sum(n), {power})) OVER () AS goal FROM cell GROUP BY s),

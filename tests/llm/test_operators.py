@@ -501,3 +501,16 @@ def test_mixing_odd_rows(odd, empty):
     kept = mixing.sampled(odd)
     assert kept.schema == odd.schema and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
     assert mixing.mix(empty).count() == 0 and mixing.sampled(empty).count() == 0
+
+
+def test_mixing_given_source_targets(spark, data):
+    d = documents(spark, data)
+    names = sorted(r.source for r in d.select("source").distinct().collect() if r.source)[:2]
+    goals = dict(zip(names, (0.25, 0.75)))
+    frame = spark.createDataFrame(list(goals.items()), "s string, goal double")
+    for given in (goals, frame):
+        rows = mixing.mix(d, targets={"source": given}, sweeps=25).toPandas()
+        share = (rows.tokens * rows.weight).groupby(rows.source).sum() / (rows.tokens * rows.weight).sum()
+        assert np.allclose(share[names], list(goals.values()), atol=1e-6) and set(rows[rows.kept].source) <= set(names)
+    with pytest.raises(ValueError, match="unknown targets: sources"):
+        mixing.mix(d, targets={"sources": goals})
