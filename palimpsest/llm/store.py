@@ -3,10 +3,11 @@
 Documents become id streams; a rolling hash over the last few ids cuts each stream into chunks, so equal passages give equal
 chunks wherever they stand. A chunk's name is the BLAKE2b hash of its bytes, and each distinct chunk is written once. A
 recipe lists a document's chunk names in order, with the Merkle root over them; a manifest has one root per file of recipes and the
-root over those. Reading verifies every chunk against its name and every document against its root.
+root over those. Reading verifies every chunk against its name, every document against its root, the documents of every file
+against the manifest's root and counts, and the manifest against the root over all: what is lost or changed raises an error.
 
 Layout below the store's path, all Parquet: ``content/kind=chunk`` (name, ids, n_tokens), ``ordered/kind=recipe`` (part, within,
-doc_id, n_tokens, chunks, root; in doc_id order over files and rows) and ``manifest`` (part, first, documents, tokens, root, last_doc_id). A
+doc_id, n_tokens, chunks, root; in doc_id order over files and rows) and ``manifest`` (part, documents, tokens, root, last_doc_id, first, parts, whole). A
 document's place among all ids is its part's ``first`` plus its own ``within``.
 """
 
@@ -119,20 +120,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
                     pa.array(sizes + [n for n, _ in recipes], pa.int64()), pa.array([None] * c + [r for _, r in recipes], schema.field("chunks").type),
                 ], schema=schema)
 
-    def once(batches):
-        seen = set()
-        for batch in batches:
-            names, kinds = batch.column("name").to_pylist(), batch.column("kind").to_pylist()
-            keep = []
-            for name, which in zip(names, kinds):
-                keep.append(which == "recipe" or name not in seen)
-                if which == "chunk":
-                    seen.add(name)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    # equal chunks meet in one task by name, of which each task has sent one; recipes are dealt by their own root and document
-    dealt = modest(docs.select("doc_id", "text")).mapInArrow(chunked, made).repartition(F.xxhash64("name", "doc_id"))
-    dealt.mapInArrow(once, made).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
+    # equal chunks meet by name, of which each task has sent one; a recipe is always written
+    copy = F.row_number().over(Window.partitionBy("kind", "name", "doc_id").orderBy("n_tokens"))
+    once = modest(docs.select("doc_id", "text")).mapInArrow(chunked, made).withColumn("copy", copy).where("kind = 'recipe' OR copy = 1").drop("copy")
+    once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
     recipes = spark.read.schema(made).parquet(f"{path}/content").where("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", F.col("name").alias("root"))
     order = ["doc_id", "root", "n_tokens"]
 
@@ -152,13 +143,67 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             yield pa.RecordBatch.from_pylist([last], schema=schema)
 
     recipes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(placed, ordered).write.partitionBy("kind").parquet(f"{path}/ordered")
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = spark.read.schema(ordered).parquet(f"{path}/ordered").where("kind = 'part'")  # one row a file
-    parts.select("part", before.alias("first"), F.col("within").alias("documents"), F.col("n_tokens").alias("tokens"), "root", F.col("doc_id").alias("last_doc_id")).coalesce(1).write.parquet(f"{path}/manifest")
+    listed = parts.select("part", F.col("within").alias("documents"), F.col("n_tokens").alias("tokens"), "root", F.col("doc_id").alias("last_doc_id"))
+    listed.coalesce(1).sortWithinPartitions("part").mapInArrow(_listing, _manifest(listed.schema)).write.parquet(f"{path}/manifest")
+
+
+def _manifest(listed: T.StructType) -> T.StructType:
+    """The schema of ``manifest``: ``whole`` is the root over the roots of all parts."""
+    return T.StructType([*listed.fields, T.StructField("first", T.LongType()), T.StructField("parts", T.LongType()), T.StructField("whole", T.BinaryType())])
+
+
+def _listing(batches):
+    """Adds to the parts, which come in order in one task, the ids before each and the root over all; there is one row a file."""
+    parts = pa.Table.from_batches(list(batches))
+    tokens, roots = parts.column("tokens").to_numpy(), parts.column("root").to_pylist()
+    for name, values in (("first", np.cumsum(tokens) - tokens), ("parts", [len(roots)] * len(roots)), ("whole", [merkle(roots)] * len(roots))):
+        parts = parts.append_column(name, pa.array(values, pa.binary() if name == "whole" else pa.int64()))
+    yield from parts.combine_chunks().to_batches()
+
+
+def _parts_of(batches):
+    """(part, documents, tokens, root) from recipes that come sorted by part and place; a gap between two of them gives no root."""
+    at, documents, tokens, roots, gap = None, 0, 0, [], False
+
+    def done():
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([documents], pa.int64()), pa.array([tokens], pa.int64()), pa.array([None if gap else merkle(roots)], pa.binary())], names=["part", "documents", "tokens", "root"])
+
+    for batch in batches:
+        for part, within, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "within", "n_tokens", "root"))):
+            if part != at:
+                if at is not None:
+                    yield done()
+                at, documents, tokens, roots, gap = part, 0, 0, [], False
+            gap |= within != tokens
+            documents, tokens = documents + 1, tokens + n
+            roots.append(root)
+    if at is not None:
+        yield done()
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises unless the recipes are those that the manifest lists: every part's documents, tokens and root, and the root over all parts.
+
+    Only (part, place, tokens, root) of the recipes is shuffled, by part, which is one file each; the manifest has one row a file."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    listed = manifest.orderBy("part").select("root", "parts", "whole").collect()
+    if listed and ({r.parts for r in listed} != {len(listed)} or {bytes(r.whole) for r in listed} != {merkle([bytes(r.root) for r in listed])}):
+        raise ValueError(f"the manifest of {path} does not match its root: parts are missing or changed")
+    ordered = _layout(manifest.schema["last_doc_id"].dataType)[1]
+    recipes = spark.read.schema(ordered).parquet(f"{path}/ordered").where("kind = 'recipe'").select("part", "within", "n_tokens", "root")
+    found = recipes.repartition("part").sortWithinPartitions("part", "within").mapInArrow(_parts_of, "part long, documents long, tokens long, root binary")
+    same = ["part", "documents", "tokens", "root"]
+    odd = manifest.select(*same, F.lit(1).alias("side")).unionByName(found.withColumn("side", F.lit(2))).groupBy(*same).agg(F.sum("side").alias("sides")).where("sides <> 3").agg(F.count("*").alias("n"), F.min("part").alias("part")).first()
+    if odd.n:
+        raise ValueError(f"recipes of {path} are missing or changed: part {odd.part} is not as the manifest has it")
 
 
 def verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks (name, ids, n, crc) and their uses (start, doc_id, n_tokens, name, pos, after), each checked against its hash as it is read."""
+    """Chunks (name, ids, n, crc) and their uses (start, doc_id, n_tokens, name, pos, after), each checked against its hash as it is read.
+
+    The recipes are first held against the manifest (:func:`check_manifest`)."""
+    check_manifest(spark, path)
     whole = spark.read.parquet(f"{path}/manifest")
     manifest, (content, ordered) = whole.select("part", "first"), _layout(whole.schema["last_doc_id"].dataType)
     chunks = spark.read.schema(content).parquet(f"{path}/content").where("kind = 'chunk'").select("name", "ids", "n_tokens")
@@ -245,20 +290,26 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def part(crc: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series(shifted(crc.to_numpy(np.int64), after.to_numpy(np.int64) * 4))
 
-    found = uses.join(chunks.select("name", "n", "crc"), "name")
-    whole = found.select("start", "doc_id", "n_tokens", "n", part("crc", "after").alias("crc")).groupBy("start", "doc_id", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"))
+    found = uses.join(chunks.select("name", "n", "crc"), "name", "left")
+    whole = found.select("start", "doc_id", "n_tokens", "n", part(F.coalesce("crc", F.lit(0)), "after").alias("crc")).groupBy("start", "doc_id", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"))
+    return whole.select("doc_id", "start", "n_tokens", _whole(F.col("ids_crc32")).alias("ids_crc32"))
+
+
+def _whole(value: F.Column) -> F.Column:
+    """``value`` if the chunks at hand have all ``n_tokens`` of their document, else an error."""
     lost = F.raise_error(F.concat(F.lit("chunks are missing for the document at id "), F.col("start").cast("string")))
-    return whole.select("doc_id", "start", "n_tokens", F.when(F.col("n") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(lost).alias("ids_crc32"))
+    return F.when(F.coalesce("n", F.lit(0)) == F.col("n_tokens"), value).otherwise(lost)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) with each document's ids rebuilt from its chunks, little-endian and as wide as stored."""
     chunks, uses = verified(spark, path)
-    rows = uses.join(chunks.select("name", "ids"), "name").groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("c"))
-    return rows.select("doc_id", "start", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    rows = uses.join(chunks.select("name", "n", "ids"), "name", "left").groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("c"), F.sum("n").alias("n"))
+    return rows.select("doc_id", "start", _whole(F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))).alias("ids"))
 
 
 def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of all ``documents``, from a store that is written and read back; end id 2."""
     import public_tokenizers
 
     path = scratch(spark, "store")

@@ -2,7 +2,8 @@
 
 A text is cut before every single space that a non-space character follows. No pre-token of the byte-level pattern
 spans such a place (only a run of white space could, and the pattern leaves the run's last space to the next word), so the
-ids of the pieces, put together, are the ids of the text. Pieces go through the tokenizers library unchanged.
+ids of the pieces, put together, are the ids of the text. Pieces go through the tokenizers library unchanged. A text that
+holds the string of a special token goes through it whole, as the library gives such strings ids of their own.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.specials = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.remember = remember
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -83,9 +84,10 @@ class BatchEncoder:
         self.ids.frombytes(ids.tobytes())
         self.ends.frombytes((ends + at).astype(np.int64).tobytes())
 
-    @staticmethod
-    def pieces(text: str) -> list:
-        """The text cut before each single space that a non-space follows."""
+    def pieces(self, text: str) -> list:
+        """The text cut before each single space that a non-space follows; uncut if it holds the string of a special token."""
+        if any(map(text.__contains__, self.specials)):
+            return [(text,)]
         words: list = text.split(" ")
         if not (any(map(text.__contains__, RUNS)) or text[-1] == " " or not text.isascii() and RARE.search(text)):
             words[0] = (words[0],)

@@ -46,9 +46,7 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)  # as it is loaded
 
 
 def documents(spark, data):
@@ -62,6 +60,7 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     r = np.random.default_rng(4)
     parts = ["a", "bc", " ", "  ", "\n", "\t", "'s", "12", "é", "$$", "\u00a0", "\x1c", "\r\n", "<|endoftext|>", "日本", ".", "\u3000", "\x85"]
     texts = ["".join(r.choice(parts, r.integers(0, 30))) for _ in range(4000)] + [None, "", LONG]
+    texts += ["<|endoftext|>", "<|endoftext|> a", "a <|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b  c", "<|endoftext|><|endoftext|>", " <|endoftext|> \n", "<|endoftext", "|endoftext|> a"]
     encode = BatchEncoder(BPE, remember=500)  # it forgets many times
     for at in range(0, len(texts), 700):
         some = texts[at : at + 700]
@@ -444,6 +443,55 @@ def test_store_sees_damage(spark, tmp_path):
         store.digests(spark, path).collect()
 
 
+@pytest.fixture(scope="module")
+def stored(spark, data, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("whole") / "store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts
+    store.write_store(documents(spark, data), path, BPE)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{path}/manifest").count() > 1
+    return path
+
+
+def parquet_files(path):
+    import glob
+
+    return sorted(glob.glob(f"{path}/*.parquet"))
+
+
+@pytest.mark.parametrize("part, match", [("ordered/kind=recipe", "missing or changed"), ("content/kind=chunk", "chunks are missing"), ("manifest", "missing or changed")])
+def test_store_sees_what_is_lost(spark, stored, tmp_path, part, match):
+    import os
+    import shutil
+
+    path = str(tmp_path / "store")
+    shutil.copytree(stored, path)
+    if part != "manifest":
+        os.remove(parquet_files(f"{path}/{part}")[0])
+    else:  # one row of the manifest
+        spark.read.parquet(f"{stored}/manifest").where("part > 0").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(Exception, match=match):
+        store.digests(spark, path).collect()
+    with pytest.raises(Exception, match=match):
+        store.read_documents(spark, path).collect()
+
+
+def test_store_sees_changed_recipes(spark, stored, tmp_path):
+    """A recipe whose own root fits it, but which is not the one that was written."""
+    import shutil
+
+    path = str(tmp_path / "store")
+    shutil.copytree(stored, path)
+    recipes = spark.read.parquet(f"{stored}/ordered/kind=recipe")
+    other = recipes.where("part = 0").orderBy("within").first()
+    swapped = recipes.withColumn("root", F.when((F.col("part") == 0) & (F.col("within") > 0) & (F.col("n_tokens") == other.n_tokens), F.lit(bytes(other.root))).otherwise(F.col("root")))
+    swapped = swapped.withColumn("doc_id", F.col("doc_id") + 1).withColumn("n_tokens", F.when(F.col("within") == 0, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))
+    shutil.rmtree(f"{path}/ordered/kind=recipe")
+    swapped.write.parquet(f"{path}/ordered/kind=recipe")
+    with pytest.raises(ValueError, match="missing or changed"):
+        store.check_manifest(spark, path)
+
+
 def test_store_odd_rows(spark, odd, empty, tokenizer, tmp_path):
     path = str(tmp_path / "store")
     store.write_store(odd, path, BPE)

@@ -38,7 +38,6 @@ def test_stages_against_plain_python(spark, data):
     sample = {r.doc_id for r in mixing.mix(outs[2]).where("kept").collect()}
     assert {r.doc_id for r in outs[3].collect()} == sample and sample
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces = {}
     for r in outs[4].orderBy("doc_id", "start").collect():
         pieces.setdefault(r.doc_id, []).append(r.ids)
