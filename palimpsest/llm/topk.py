@@ -1,11 +1,13 @@
 """Operator 6, exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of the parts that ``LISTS`` groups of dimensions give it. Phase one: in every block of rows, each list names
-the best rows of a query by its part alone; these few are scored in full, and the k-th best score of a query over
-all blocks is a safe cutoff, as at least k rows reach it. Phase two: a row that reaches the cutoff has one part of at least
-cutoff / LISTS, so every block collects the rows with such a part. Phase three: only these are scored in full, and those that reach the
-cutoff go on to the final ranking. Queries and rows meet in blocks of bounded size; cutoffs travel with their query block,
-so nothing that grows with the data is broadcast or brought to the driver.
+A score is the sum of the parts that ``LISTS`` groups of dimensions give it. Phase one: in every block of rows the first list
+names a query's best rows by its part alone; these few are scored in full, and the k-th best score of a query over all blocks is a
+safe cutoff, as at least k rows reach it. Phase two: the rest of a score is at most the product of the two vectors' lengths in the
+other lists, so a row whose part and rest together cannot reach the cutoff is passed over after a quarter of the work. Phase three: the
+other lists are resolved for the rows that are left, and a block sends on the best k of those that reach the cutoff. No
+pair is scored in full more often than by brute force, and queries with close neighbours score few. Queries and rows meet in
+blocks of bounded size; cutoffs travel with their query block, so nothing that grows with the data is broadcast or brought to
+the driver.
 """
 
 from __future__ import annotations
@@ -18,10 +20,16 @@ from pyspark.sql import types as T
 
 from .common import stash, table
 
-#: Groups of dimensions; rows and queries of a block.
-LISTS, ROWS, QUERIES = 4, 16_384, 4_096
+#: Groups of dimensions; most rows and queries of a block.
+LISTS, ROWS, QUERIES = 4, 65_536, 8_192
+#: Blocks of rows that are made of smaller tables, too, for as many tasks, and the rows that a block has at least.
+SPREAD, FEW = 16, 4_096
 #: Scores held at once by a task, as 4- or 8-byte numbers.
-HELD = 1 << 23
+HELD = 1 << 22
+#: A query with more of a block's rows left than this share takes the block's other lists whole.
+DENSE = 0.2
+#: The cutoff of a query with fewer than k rows.
+NONE = -(1 << 62)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -31,16 +39,62 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(lists.flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
+    return np.asarray(lists.flatten().to_numpy(zero_copy_only=False)).reshape(len(lists), dim)
 
 
-def _parts(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
-    """The parts of all scores, exact: in float32 or float64 while every sum fits, else in 64-bit integers."""
+def exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as float32 or float64 while every sum of products fits, else as 64-bit integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if most >= 2.0**62:
         raise OverflowError("scores of these vectors do not fit a 64-bit integer")
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-    return [a.astype(kind) @ b.astype(kind).T for a, b in zip(np.array_split(q, LISTS, 1), np.array_split(x, LISTS, 1))]
+    return q.astype(kind), x.astype(kind)
+
+
+def _some(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (i, j), some at a time."""
+    out, step = np.empty(len(i), np.int64), max(1, HELD // max(1, q.shape[1]))
+    for at in range(0, len(i), step):
+        out[at : at + step] = (q[i[at : at + step]] * x[j[at : at + step]]).sum(1)
+    return out
+
+
+def local_lists(q: np.ndarray, x: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase one: (query, row, score) of the ``many`` rows that are best by the first list."""
+    first = -(-q.shape[1] // LISTS)
+    part = q[:, :first] @ x[:, :first].T
+    many = min(many, len(x))
+    j = np.argpartition(part, len(x) - many, axis=1)[:, len(x) - many :].ravel()
+    i = np.repeat(np.arange(len(q)), many)
+    return i, j, _some(q, x, i, j)
+
+
+def sufficient(q: np.ndarray, x: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phases two and three: (query, row, score) of all pairs that reach the query's cutoff, and how many were scored in full."""
+    first = -(-q.shape[1] // LISTS)
+    part = q[:, :first] @ x[:, :first].T
+    length = lambda a: np.sqrt((a[:, first:].astype(np.float64) ** 2).sum(1))
+    kind = np.float32 if q.dtype == np.float32 else np.float64
+    eps = 1e-5 if kind == np.float32 else 1e-9  # more than rounding can cost
+    least = np.maximum(cutoff - np.abs(cutoff) * eps - 4, -(2.0**62)).astype(kind)
+    left = part >= least[:, None] - (length(q) * (1 + eps)).astype(kind)[:, None] * length(x).astype(kind)
+    dense = left.mean(1) > DENSE
+    d = np.flatnonzero(dense)
+    whole = part[d] + q[d, first:] @ x[:, first:].T
+    i, j = np.nonzero(whole >= cutoff[d, None])
+    i1, j1, s1 = d[i], j, whole[i, j].astype(np.int64)
+    left[d] = False
+    i, j = np.nonzero(left)
+    s = part[i, j].astype(np.int64) + _some(q[:, first:], x[:, first:], i, j)
+    keep = s >= cutoff[i]
+    return np.concatenate([i1, i[keep]]), np.concatenate([j1, j[keep]]), np.concatenate([s1, s[keep]]), len(d) * len(x) + len(i)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of every query, ties to the smaller id."""
+    order = np.lexsort((ids, -score, query))
+    new = np.flatnonzero(np.diff(query[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order)))) < k]
 
 
 def _pairs(k: int, with_cutoff: bool):
@@ -60,32 +114,16 @@ def _pairs(k: int, with_cutoff: bool):
 
     def score(queries: pa.Table, rows: pa.Table, dim: int, out: dict) -> None:
         q_ids, x_ids = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
-        q, x = (_matrix(t.column("v").combine_chunks(), dim) for t in (queries, rows))
+        q, x = exact(*(_matrix(t.column("v").combine_chunks(), dim) for t in (queries, rows)))
         cutoff = queries.column("cutoff").to_numpy() if with_cutoff else None
-        step = max(1, HELD // len(x_ids) // (LISTS + 1))
+        step = max(1, HELD // len(x_ids))
         for at in range(0, len(q_ids), step):
-            parts = _parts(q[at : at + step], x)
-            if with_cutoff:
-                least = cutoff[at : at + step, None] / LISTS
-                if parts[0].dtype == np.float32:  # comparing like with like is faster; parts are integers, so rounding down is safe
-                    least = np.floor(least).clip(-(2.0**24), 2.0**24).astype(np.float32)
-                chosen = parts[0] >= least
-                for p in parts[1:]:
-                    chosen |= p >= least
-            else:
-                chosen = np.zeros(parts[0].shape, bool)
-                many = min(k + 1, len(x_ids))  # one more, as the query itself may be among them
-                for p in parts:
-                    best = np.argpartition(p, len(x_ids) - many, axis=1)[:, len(x_ids) - many :]
-                    np.put_along_axis(chosen, best, True, 1)
-            i, j = np.nonzero(chosen)
-            total = sum(p[i, j].astype(np.int64) for p in parts)
-            keep = q_ids[at + i] != x_ids[j]
-            if with_cutoff:
-                keep &= total >= cutoff[at + i]
-            out["query_id"].append(q_ids[at + i[keep]])
-            out["vec_id"].append(x_ids[j[keep]])
-            out["score"].append(total[keep])
+            # phase one takes one more, as the query itself may be among them
+            i, j, total = sufficient(q[at : at + step], x, cutoff[at : at + step])[:3] if with_cutoff else local_lists(q[at : at + step], x, k + 1)
+            keep = np.flatnonzero(q_ids[at + i] != x_ids[j])
+            keep = keep[_best(i[keep], x_ids[j[keep]], total[keep], k)]
+            for name, values in zip(names, (q_ids[at + i[keep]], x_ids[j[keep]], total[keep])):
+                out[name].append(values)
 
     return run
 
@@ -94,17 +132,23 @@ def _blocks(key: str, rows: int, salt: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(rows)).cast("int")
 
 
+def _narrow(df: DataFrame) -> tuple[DataFrame, int]:
+    """Vectors as 16-bit integers if all fit, and the number of rows."""
+    n, most = df.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    return (df.withColumn("v", F.col("v").cast("array<smallint>")) if (most or 0) < 1 << 15 else df), n
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """For every row of ``queries(vec_id, embedding)`` its k best rows of ``vectors(vec_id, embedding)``: query_id, rank, vec_id, score.
 
     A row never answers itself (its own vec_id); ties go to the smaller vec_id; fewer rows give fewer answers. Vectors that are
     null or have null or non-finite components, and null ids, take no part; vectors of another length than the query's do not
-    answer it. A vec_id that is repeated with equal vectors counts once; with unlike vectors each may answer, and each query row asks.
+    answer it, and empty vectors score 0 with each other. A vec_id that is repeated with equal vectors counts once; with unlike vectors
+    each may answer, and each query row asks. Other columns are ignored; empty tables give no rows.
     """
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")])
-    x = stash(quantised(vectors).distinct(), "vectors")
-    q = stash(quantised(queries).distinct(), "queries")
-    row_blocks, query_blocks = (max(1, -(-d.count() // most)) for d, most in ((x, ROWS), (q, QUERIES)))
+    (x, n), (q, m) = _narrow(stash(quantised(vectors).distinct(), "vectors")), _narrow(stash(quantised(queries).distinct(), "queries"))
+    row_blocks, query_blocks = max(1, -(-n // ROWS), min(SPREAD, n // FEW)), max(1, -(-m // QUERIES))
     # every block of queries meets every block of rows once, each in a group of its own
     dealt = x.withColumn("r", _blocks("vec_id", row_blocks, 1)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = q.withColumn("c", _blocks("vec_id", query_blocks, 2))
@@ -113,14 +157,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
     # fewer than k answers are known: nothing may be cut
-    least = kth.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("cutoff")).otherwise(F.lit(-(1 << 62))).cast("double").alias("cutoff"))
-    asked = stash(asked.join(least, "vec_id", "left").fillna({"cutoff": -float(1 << 62)}), "cutoffs")
+    least = kth.where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("cutoff").cast("double").alias("cutoff"))
+    asked = stash(asked.join(least, "vec_id", "left").fillna({"cutoff": float(NONE)}), "cutoffs")
     full = to_all(asked).groupBy("r", "c").cogroup(dealt.groupBy("r", "c")).applyInArrow(_pairs(k, True), schema)
     ranked = full.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score: the 20 best of all ``embeddings`` for every one whose vec_id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 

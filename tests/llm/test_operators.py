@@ -302,6 +302,7 @@ def brute_topk(rows, k):
 def test_topk_is_exact_with_ties(spark, monkeypatch, blocks, scale):
     monkeypatch.setattr(topk, "ROWS", blocks[0])
     monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    monkeypatch.setattr(topk, "HELD", 100 * blocks[1])
     r = np.random.default_rng(2)
     v = [[float(x) for x in r.integers(-3, 4, 6) / 4 * scale] for _ in range(90)]
     v[21:40] = [v[20]] * 19
@@ -317,6 +318,27 @@ def test_topk_few_rows_and_none(spark):
     assert topk.top_k(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_topk_empty_and_unlike_lengths_and_clashing_names(spark):
+    rows = [(0, []), (1, []), (2, [1.0]), (20, [2.0]), (40, [1.0, 1.0]), (41, [2.0, -1.0]), (60, [0.5] * 7), (61, []), (80, None)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("v", "r", "c", "n", "rank", "score", "cutoff", "query_id")})
+    got = {tuple(r) for r in topk.top_k(d, d.where("vec_id % 20 = 0"), 2).collect()}
+    assert got == brute_topk([(i, [int(64 * x) for x in a]) for i, a in rows if a is not None], 2) and (0, 1, 1, 0) in got
+
+
+def test_topk_scores_fewer_pairs_than_brute_force():
+    r = np.random.default_rng(4)
+    near = r.normal(0, 1, (30, 1, 64)) + r.normal(0, 0.05, (30, 40, 64))  # 30 close groups of 40, and 1000 rows far from all
+    x = np.concatenate([near.reshape(-1, 64), r.normal(0, 1, (1000, 64))])
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    order = r.permutation(len(x))
+    q, x = topk.exact(x[::20], x[order])
+    i, j, s = topk.local_lists(q, x, 21)
+    cutoff = np.array([np.sort(s[i == k])[-20] for k in range(len(q))], float)
+    i, j, s, n = topk.sufficient(q, x, cutoff)
+    assert set(zip(i.tolist(), j.tolist(), s.tolist())) == {(a, b, int(v)) for a, row in enumerate(q @ x.T) for b, v in enumerate(row) if v >= cutoff[a]}
+    assert n < 0.55 * len(q) * len(x)
+
+
 # --- 7 language -----------------------------------------------------------------------------------------------------------------
 
 
