@@ -1,8 +1,10 @@
 """Operator 5, license scans: winnowed fingerprints pick candidate templates, banded alignment reports what they cover.
 
-Words of a text become the numbers of template words, so most words of most texts fall away at once. Hashes of runs of
-``GRAM`` known words are looked up in an inverted index of the templates' winnowed fingerprints. For every template that is hit, the
-text round the hits is aligned with the template, word by word, within a band round the diagonal of the hits.
+Words of a text become the numbers of template words, so most words of most texts fall away at once. Hashes of short runs of
+known words are looked up in an inverted index of the templates' fingerprints. Long templates are winnowed; of short ones, where
+edits leave few runs, every run of two words is kept, and as many must be hit along one diagonal as the edits that the coverage
+allows must leave. Where a template is hit often enough, the text is aligned with it, word by word, within a band round the
+diagonal of the hits; the alignments of a batch of texts are one computation a template.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import types as T
 from .common import modest, table
 from .tokens import slices
 
-#: Words of a fingerprint, hashes that compete in a winnow, half the width of the band, and the least coverage that is reported.
-GRAM, WINNOW, BAND, COVERAGE = 5, 4, 12, 0.8
+#: Words of a fingerprint and hashes that compete in a winnow, for templates of more than ``SHORT`` words; hits that such a template needs.
+GRAM, WINNOW, SHORT, HITS = 3, 4, 24, 2
+#: Half the width of the band at most, and the least coverage that is reported.
+BAND, COVERAGE = 12, 0.8
 
 # Short public license notices and references that pages and sources carry.
 TEMPLATES = {
@@ -39,120 +43,156 @@ TEMPLATES = {
 }
 
 WORD = re.compile(r"[^\W_]+")
+#: Packed cells of an alignment: score, matched words, and how early it starts.
+ONE, WORDS = 1 << 40, 1 << 20
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    n = max(0, len(ids) - size + 1)
+    h = np.zeros(n, np.int64)
+    for k in range(size):
+        h = (h * 1_000_003 + ids[k : k + n] * 7_919 + 1) % ((1 << 31) - 1)
+    return h
+
+
 class Index:
-    """Templates as rows of word numbers, and an inverted index of their winnowed fingerprints."""
+    """Templates as rows of word numbers, and an inverted index of their fingerprints."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, winnow: int = WINNOW):
-        self.names, self.gram = sorted(templates), gram
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
+        self.names, self.coverage = sorted(n for n in templates if words(templates[n])), coverage
         self.vocabulary: dict[str, int] = {}
         self.ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(templates[n])], np.int64) for n in self.names]
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        self.band = [max(2, min(BAND, len(ids) // 4)) for ids in self.ids]
+        self.least, found = [], {}
         for t, ids in enumerate(self.ids):
-            h = self.hashes(ids)
-            picked = {min(range(i, min(i + winnow, len(h))), key=lambda j: (int(h[j]), -j)) for i in range(max(1, len(h) - winnow + 1))} if len(h) else set()
-            for j in sorted(picked):
-                self.places.setdefault(int(h[j]), []).append((t, j))
-        self.known = np.array(sorted(self.places), np.int64)
-
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
-        """A hash of every run of ``gram`` words, or of all words if there are fewer."""
-        size = max(1, min(self.gram, len(ids)))
-        n = len(ids) - size + 1
-        h = np.zeros(max(0, n), np.int64)
-        for k in range(size):
-            h = (h * 1_000_003 + ids[k : k + n] * 7_919 + 1) % ((1 << 31) - 1)
-        return h
+            short = len(ids) <= SHORT
+            size, winnow = (min(2, len(ids)), 1) if short else (GRAM, WINNOW)
+            h = hashes(ids, size)
+            picked = {min(range(i, min(i + winnow, len(h))), key=lambda j: (int(h[j]), -j)) for i in range(max(1, len(h) - winnow + 1))}
+            edits = int((1 - coverage) * len(ids) + 1e-9)
+            self.least.append(max(1, len(h) - size * edits) if short else HITS)
+            found.setdefault(size, []).extend((int(h[j]), t, j) for j in picked)
+        self.places = {size: tuple(np.array(c, np.int64) for c in zip(*sorted(rows))) for size, rows in found.items()}  # hash, template, place
 
     def numbers(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
 
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For every template that shares a fingerprint with a text, the (text, template) places of the shared ones."""
-        h, out = self.hashes(ids), {}
-        for i in np.flatnonzero(np.isin(h, self.known)).tolist():
-            for t, j in self.places[int(h[i])]:
-                out.setdefault(t, []).append((i, j))
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(template, diagonal) of every place of a text with enough hits; a diagonal is the place where the template would start."""
+        hit_t, hit_d = [], []
+        for size, (known, template, place) in self.places.items():
+            h = hashes(ids, size)
+            lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            at = np.flatnonzero(hi > lo)
+            if len(at):
+                n = (hi - lo)[at]
+                which = np.repeat(lo[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hit_t.append(template[which])
+                hit_d.append(np.repeat(at, n) - place[which])
+        out: list[tuple[int, int]] = []
+        if hit_t:
+            t, d = np.concatenate(hit_t), np.concatenate(hit_d)
+            for k in np.unique(t).tolist():
+                mine = np.sort(d[t == k])
+                upto, i = np.searchsorted(mine, mine + self.band[k], "right"), 0
+                while i < len(mine):
+                    if upto[i] - i >= self.least[k]:
+                        out.append((k, int(mine[(i + upto[i] - 1) // 2])))
+                        i = int(upto[i])
+                    else:
+                        i += 1
         return out
 
 
-def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Local alignment of template ``a`` with text ``b`` where b's place minus a's is within ``band`` of ``diagonal``.
-
-    A match earns 1, a mismatch or gap costs 1. Returns the matched words and the first and last + 1 place in ``b``."""
-    best, width = (0, 0, 0, 0), 2 * band + 1
-    score, matched, start = [0] * (width + 1), [0] * (width + 1), [0] * (width + 1)
-    for i in range(len(a)):
-        new, new_m, new_s = [0] * (width + 1), [0] * (width + 1), [0] * (width + 1)
-        for d in range(width):
-            j = i + diagonal + d - band
-            if not 0 <= j < len(b):
-                continue
-            same = a[i] == b[j]
-            s, m, at = (score[d] + 1, matched[d] + 1, start[d] if score[d] else j) if same else (score[d] - 1, matched[d], start[d])
-            if score[d + 1] - 1 > s:  # a template word that the text lacks
-                s, m, at = score[d + 1] - 1, matched[d + 1], start[d + 1]
-            if d and new[d - 1] - 1 > s:  # a text word that the template lacks
-                s, m, at = new[d - 1] - 1, new_m[d - 1], new_s[d - 1]
-            if s > 0:
-                new[d], new_m[d], new_s[d] = s, m, at
-                if (s, m) > best[:2]:
-                    best = (s, m, at, j + 1)
-        score, matched, start = new, new_m, new_s
-    return best[1], best[2], best[3]
-
-
-def scan_text(index: Index, text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(template, share of its words that match, start, end) of every place in a whole text; code points, end exclusive."""
-    lowered = text.lower()
-    ids = index.numbers(WORD.findall(lowered))
-    if not index.hits(ids):
-        return []
-    found = list(WORD.finditer(lowered if len(lowered) == len(text) else text))
-    ids = index.numbers([m[0].lower() for m in found])
-    out = []
-    for t, places in index.hits(ids).items():
-        template, done, tried = index.ids[t], -1, None
-        for i, j in sorted(places):
-            if i < done or tried is not None and abs(i - j - tried) <= BAND // 2:
-                continue  # part of an alignment that was reported or tried
-            tried = i - j
-            lo = max(0, i - j - BAND)
-            piece = ids[lo : i - j + len(template) + BAND + 1]
-            matched, start, end = align(template, piece, i - j - lo)
-            if matched >= coverage * len(template):
-                out.append((index.names[t], matched / len(template), found[lo + start].start(), found[lo + end - 1].end()))
-                done = lo + end
-    return sorted(out, key=lambda x: (x[2], x[0]))
+def align(template: np.ndarray, texts: list[np.ndarray], diagonals: list[int], band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local alignments of a template with places of several texts, where a text's place minus the template's is within ``band`` of a diagonal.
+
+    A match earns 1, a mismatch or gap costs 1; of equal scores more matched words win, then the earlier start. Returns for every
+    pair the matched words and the first and last + 1 place in the text."""
+    wide = 2 * band + 1
+    piece = np.full((len(texts), len(template) + 2 * band), -1, np.int64)
+    for row, (ids, diagonal) in enumerate(zip(texts, diagonals)):
+        lo = diagonal - band
+        part = ids[max(0, lo) : max(0, lo + piece.shape[1])]
+        piece[row, max(0, -lo) : max(0, -lo) + len(part)] = part
+    place, step = np.arange(piece.shape[1]), np.arange(wide) * ONE
+    cells, best, end = np.zeros((len(texts), wide + 1), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for i, word in enumerate(template):
+        before, fresh = cells[:, :wide], WORDS - 1 - place[i : i + wide]
+        new = np.where(piece[:, i : i + wide] == word, np.where(before > 0, before, fresh) + ONE + WORDS, before - ONE)
+        new = np.maximum(new, cells[:, 1:] - ONE)  # a template word that the text lacks
+        new = np.maximum.accumulate(new + step, 1) - step  # text words that the template lacks
+        new[new < ONE] = 0
+        cells[:, :wide] = new
+        at = new.argmax(1)
+        top = new[np.arange(len(new)), at]
+        end = np.where(top > best, place[i] + at + 1, end)
+        best = np.maximum(best, top)
+    first = np.array(diagonals, np.int64) - band
+    return best // WORDS % WORDS, first + WORDS - 1 - best % WORDS, first + end
+
+
+def scan_texts(index: Index, texts: list[str | None]) -> list[list[tuple[str, float, int, int, bool]]]:
+    """For every whole text (template, share of its words that match, start, end, best) of every place; code points, end exclusive.
+
+    Places of one template that overlap count once, with the most words. ``best`` is true unless an overlapping place of another
+    template matches more words, or as many and a larger share of its own, or all that and has a smaller name."""
+    asked: dict[int, list[tuple[int, int]]] = {}
+    ids: dict[int, np.ndarray] = {}
+    for i, text in enumerate(texts):
+        if text:
+            numbers = index.numbers(WORD.findall(text.lower()))
+            for t, diagonal in index.candidates(numbers):
+                asked.setdefault(t, []).append((i, diagonal))
+                ids[i] = numbers
+    hits: dict[int, list[tuple[int, float, str, int, int]]] = {}
+    for t, pairs in asked.items():
+        n = len(index.ids[t])
+        matched, start, end = align(index.ids[t], [ids[i] for i, _ in pairs], [d for _, d in pairs], index.band[t])
+        rows = sorted((i, -m, s, e) for (i, _), m, s, e in zip(pairs, matched.tolist(), start.tolist(), end.tolist()) if m >= index.coverage * n - 1e-9)
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for i, m, s, e in rows:
+            if all(e <= a or s >= b for a, b in taken.setdefault(i, [])):
+                taken[i].append((s, e))
+                hits.setdefault(i, []).append((m, m / n, index.names[t], s, e))  # counts are negative, so that the best sorts first
+    out: list[list[tuple[str, float, int, int, bool]]] = [[] for _ in texts]
+    for i, found in hits.items():
+        text, lowered = texts[i], texts[i].lower()
+        spans = [m.span() for m in WORD.finditer(lowered if len(lowered) == len(text) else text)]
+        found.sort()
+        for k, (m, share, name, s, e) in enumerate(found):
+            best = all(e <= a or s >= b for *_, a, b in found[:k])
+            out[i].append((name, -share, spans[s][0], spans[e - 1][1], best))
+        out[i].sort(key=lambda x: (x[2], x[0], x[3]))
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """One row per found notice in ``docs(doc_id, text)``: doc_id, license, coverage, span_start, span_end.
+    """One row per found notice in ``docs(doc_id, text)``: doc_id, license, coverage, span_start, span_end, best.
 
-    Null and empty texts have none; long texts are read whole; a null doc_id stays null; repeated rows are reported each; an empty
-    table gives no rows; other columns are ignored. ``templates`` is a small table: its index travels to every task."""
-    box = docs.sparkSession.sparkContext.broadcast(Index(templates))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType())])
+    A notice counts if the best alignment matches at least ``coverage`` of its words. Notices of several templates may overlap and
+    are all reported; ``best`` marks the one with the most matched words, ties by coverage, then by name. Null and empty texts have
+    none; long texts are read whole; a null doc_id stays null; repeated rows are reported each; an empty table gives no rows; other
+    columns are ignored. ``templates`` is a small table: its index travels to every task."""
+    box = docs.sparkSession.sparkContext.broadcast(Index(templates, coverage))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType()), T.StructField("best", T.BooleanType())])
 
     def run(batches):
-        index = box.value
         for whole in batches:
             for batch in slices(whole):
-                at, rows = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    for row in scan_text(index, text, coverage) if text else ():
-                        at.append(i)
-                        rows.append(row)
-                cols = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64())))], names=schema.names)
+                found = scan_texts(box.value, batch.column(1).to_pylist())
+                at = [i for i, rows in enumerate(found) for _ in rows]
+                cols = list(zip(*(row for rows in found for row in rows))) if at else [[]] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())))], names=schema.names)
 
     return modest(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, coverage, span_start, span_end and best of every license notice in ``documents``."""
     return scan_licenses(table(spark, sf_dir, "documents"))

@@ -290,26 +290,81 @@ def test_shared_lines_deplete_all_but_the_first(spark):
 
 def test_licenses_find_edited_notices(spark, odd, empty):
     mit = licenses.TEMPLATES["MIT"]
-    rows = [(1, f"x y z {mit} tail"), (2, mit.replace("sublicense, ", "").upper()), (3, "Released under the MIT License."), (4, "Released the license."), (5, LONG + licenses.TEMPLATES["ISC"]), (None, licenses.TEMPLATES["GPL-3.0"]), (6, mit + " " + mit)]
+    rows = [(1, f"x y z {mit} tail"), (2, mit.replace("sublicense, ", "").upper()), (3, "Released under the MIT License."), (4, "Released the license."), (5, LONG + licenses.TEMPLATES["ISC"]), (None, licenses.TEMPLATES["GPL-3.0"]), (6, mit + " " + mit), (7, "x " + licenses.TEMPLATES["CC-BY-SA-4.0-reference"])]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = sorted((str(r.doc_id), r.license) for r in got)
-    assert found == [("1", "MIT"), ("2", "MIT"), ("3", "MIT-reference"), ("5", "ISC"), ("6", "MIT"), ("6", "MIT"), ("None", "GPL-3.0")]
+    assert found == [("1", "MIT"), ("2", "MIT"), ("3", "MIT-reference"), ("5", "ISC"), ("6", "MIT"), ("6", "MIT"), ("7", "CC-BY-4.0-reference"), ("7", "CC-BY-SA-4.0-reference"), ("None", "GPL-3.0")]
+    assert {r.license for r in got if r.doc_id == 7 and r.best} == {"CC-BY-SA-4.0-reference"}
     one = next(r for r in got if r.doc_id == 1)
     assert one.coverage == 1.0 and (one.span_start, one.span_end) == (6, 6 + len(mit) - 1)
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
-def test_licenses_against_full_alignment(spark, data):
+def full_alignment(template, text):
+    """Matched words of the best local alignment without a band: of equal scores the one with more matched words."""
+    cells = [(0, 0)] * (len(text) + 1)
+    best = (0, 0)
+    for a in template:
+        new = [(0, 0)]
+        for j, b in enumerate(text):
+            s, m = cells[j]
+            options = [(s + 1, m + 1) if a == b else (s - 1, m), (cells[j + 1][0] - 1, cells[j + 1][1]), (new[-1][0] - 1, new[-1][1])]
+            top = max(options)
+            new.append(top if top[0] > 0 else (0, 0))
+            best = max(best, new[-1])
+        cells = new
+    return best[1]
+
+
+def edited(r, template, share):
+    """The words of a template with about ``share`` of them replaced, dropped, or followed by another."""
+    out = []
+    for w in template:
+        kind = r.integers(0, 3) if r.random() < share else 9
+        out += {0: ["zzz"], 1: [], 2: [w, "yyy"]}.get(int(kind), [w])
+    return out
+
+
+def test_licenses_against_full_alignment_of_edited_notices():
+    r, index = np.random.default_rng(12), licenses.Index(licenses.TEMPLATES)
+    tally = {}
+    for name, template in licenses.TEMPLATES.items():
+        for share in (0.01, 0.05, 0.1, 0.15, 0.2):
+            for _ in range(12):
+                text = ["lorem"] * int(r.integers(0, 9)) + edited(r, licenses.words(template), share) + ["ipsum"] * int(r.integers(0, 9))
+                found = {x[0] for x in licenses.scan_texts(index, [" ".join(text)])[0]}
+                for other in licenses.TEMPLATES:
+                    t = licenses.words(licenses.TEMPLATES[other])
+                    if other == name or other in found:
+                        want = full_alignment(t, text) >= licenses.COVERAGE * len(t) - 1e-9
+                        right, there, said = tally.get(other, (0, 0, 0))
+                        tally[other] = (right + (want and other in found), there + want, said + (other in found))
+    for name, (right, there, said) in tally.items():
+        print(f"{name}: recall {right}/{there}, precision {right}/{said}")
+        assert right >= 0.9 * there and right == said, name
+
+
+def test_licenses_one_changed_word_in_short_references():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        t = licenses.words(template)
+        for i in range(len(t)):
+            text = [*t[:i], "zzz", *t[i + 1 :]]
+            if full_alignment(t, text) >= licenses.COVERAGE * len(t) - 1e-9:
+                assert name in {x[0] for x in licenses.scan_texts(index, [" ".join(text)])[0]}, (name, i)
+
+
+def test_licenses_on_the_documents(spark, data):
     """Every text that holds a template's words in a row is found, and no text without most of them is."""
     index = licenses.Index(licenses.TEMPLATES)
     for r in documents(spark, data).collect():
         words = licenses.words(r.text)
-        found = {x[0] for x in licenses.scan_text(index, r.text)}
+        found = {x[0] for x in licenses.scan_texts(index, [r.text])[0]}
         for name, template in licenses.TEMPLATES.items():
             t = licenses.words(template)
             whole = any(words[i : i + len(t)] == t for i in range(len(words) - len(t) + 1))
             assert not whole or name in found
-            assert name not in found or len(set(t) & set(words)) >= 0.8 * len(set(t))
+            assert name not in found or len(set(t) & set(words)) >= 0.75 * len(set(t))
 
 
 # --- 6 top-k --------------------------------------------------------------------------------------------------------------------
