@@ -217,7 +217,7 @@ def brute_base(text):
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.trained(lessons=600, epochs=6)
+    return pii.trained()
 
 
 def test_base_spans_against_plain_patterns(spark, data):
@@ -228,20 +228,127 @@ def test_base_spans_against_plain_patterns(spark, data):
         assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == brute_base(t), t
 
 
-def test_network_on_held_out_spans(tagger):
+def test_network_gradients_against_differences():
+    r, m = np.random.default_rng(0), pii.Tagger()
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x, y = (a[:, :15] for a in pii.lesson_windows(r, 5))
+    g = m.gradients(x, y)
+    for k in m.p:
+        for _ in range(4):
+            at = tuple(int(r.integers(0, n)) for n in m.p[k].shape)
+            old, loss = m.p[k][at], []
+            for step in (1e-5, -1e-5):
+                m.p[k][at] = old + step
+                loss.append(m.likelihood(x, y))
+            m.p[k][at] = old
+            assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(g[k][at], abs=1e-6), (k, at)
+
+
+def test_decoding_against_all_paths():
+    from itertools import product
+
+    m = pii.Tagger(seed=8)
+    m.p["t"], m.p["s"] = (np.random.default_rng(2).normal(0, 1, m.p[k].shape).astype(np.float32) for k in "ts")
+    x = np.random.default_rng(1).integers(1, 40, (6, 4)).astype(np.int16)
+    em, (tags, q) = m.emissions(x)[0], m.decode(x)
+    for row in range(len(x)):
+        paths = {p: m.p["s"][p[0]] + sum(em[row, i, k] for i, k in enumerate(p)) + sum(m.p["t"][a, b] for a, b in zip(p, p[1:])) for p in product(range(pii.TAGS), repeat=4)}
+        assert tuple(tags[row]) == max(paths, key=paths.get)
+        odds = {p: np.exp(v) for p, v in paths.items()}
+        for i, kind in ((0, 1), (3, 2)):
+            want = sum(v for p, v in odds.items() if p[i] in (1 + 2 * kind, 2 + 2 * kind)) / sum(odds.values())
+            assert not tags[row].any() or q[row, i, kind] == pytest.approx(want, abs=1e-4)
+
+
+def test_reconciling_against_all_subsets():
+    from itertools import combinations
+
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        spans = [(float(r.normal(1, 1)), int(r.integers(0, 2)), a, a + int(r.integers(1, 6))) for a in r.integers(0, 15, int(r.integers(0, 8))).tolist()]
+        total = lambda some: sum(max(s for s, *rest in spans if tuple(rest) == x) for x in some)
+        best = 0.0
+        for n in range(len(spans) + 1):
+            for some in combinations({tuple(rest) for _, *rest in spans}, n):
+                if all(x[2] <= y[1] or y[2] <= x[1] for x, y in combinations(some, 2)):
+                    best = max(best, total(some))
+        got = pii.reconciled(spans)
+        assert all(x[2] <= y[1] or y[2] <= x[1] for x, y in combinations(got, 2)) and total(got) == pytest.approx(best)
+
+
+# Pieces of plain text and of personal data of another kind than the generator that the network learns from.
+PLAIN_WORDS = "the report was sent on Monday and nobody asked about it before lunch so we kept walking along the river until it rained".split()
+PLANTED = [
+    "anna.smith@mail.example.com", "j.doe_88@uni-bonn.de", "info+news@shop-24.example.co.uk", "maria at example dot org", "jörg.weiß@straße.example.de", "10.0.12.254", "192.168.1.7", "203[.]0[.]113[.]9",
+    "4111 1111 1111 1111", "5500-0000-0000-0004", "4012888888881881", "4111.1111.1111.1111", "(212) 555-0147", "212-555-0147", "020 7946 0018", "01 70 18 99 00", "0171 2345678", "+49 30 901820", "+44 20 7946 0991", "612 34 56 78",
+]
+ORDINARY = ["2021-05-12", "10:30:45", "978-3-16-148410-0", "1,234,567", "v2.10.3", "@home", "3.14159", "42%", "12/11/2020", "1998-2004", "4839201745", "$19.99", "route66", "0x1f", "page 112"]
+
+
+def test_spans_of_another_generator(tagger):
+    r, hit, said, there, missed = np.random.default_rng(31), 0, 0, 0, set()
+    for _ in range(300):
+        text, spans = "", []
+        for _ in range(6):
+            text += " ".join(r.choice(PLAIN_WORDS, int(r.integers(3, 9)))) + " "
+            what = str(r.choice(PLANTED if r.random() < 0.5 else ORDINARY))
+            if what in PLANTED:
+                spans.append((len(text), len(text) + len(what)))
+            text += what + str(r.choice([" ", ", ", ". ", "; "]))
+        got = {(a, b) for _, a, b in pii.find(tagger, [text])[0][1]}
+        hit, said, there = hit + len(got & set(spans)), said + len(got), there + len(spans)
+        missed |= {text[a:b] for a, b in set(spans) - got}
+    print(f"spans of another generator: precision {hit / said:.3f}, recall {hit / there:.3f}, missed {missed}")
+    assert hit / said > 0.9 and hit / there > 0.85
+
+
+def test_network_alone_on_held_out_spans(tagger):
     r, hit, said, there = np.random.default_rng(99), 0, 0, 0
     for _ in range(200):
         text, spans = pii.lesson(r)
-        got = set(pii.reconciled(pii.proposals(tagger, [text])[0]))
+        got = set(pii.reconciled([p for p in pii.proposals(tagger, [text])[0] if pii.plausible(p[1], text[p[2] : p[3]], p[0])]))
         hit, said, there = hit + len(got & set(spans)), said + len(got), there + len(spans)
-    assert hit / said > 0.85 and hit / there > 0.75
+    assert hit / said > 0.9 and hit / there > 0.85
 
 
 def test_network_adds_what_the_patterns_lose(tagger):
-    text = "Call me maybe: +1 (843) 555-7672 170.106.47.218 or write."
-    base, every = pii.find(tagger, [text])[0]
-    assert [pii.KINDS[k] for k, *_ in base] == ["ip"] and set(base) <= set(every)
-    assert pii.reconciled([(2.0, 0, 0, 5), (1.5, 1, 4, 8), (1.4, 1, 6, 9), (-1.0, 2, 20, 30)]) in ([(1, 6, 9), (0, 0, 5)], [(0, 0, 5), (1, 6, 9)])
+    lost = {
+        "Call me maybe: {} or write.": ("phone", "+1 (843) 555-7672 170.106.47.218"), "Call {} now": ("phone", "020 7946 0958"), "tel. {}, merci": ("phone", "06 12 34 56 78"), "Ruf an: {} bitte": ("phone", "030 12345678"),
+        "write to {} please": ("email", "jane.doe at example dot com"), "{} is it": ("email", "jörg.schmidt@müller.de"), "see {} there": ("ip", "10[.]20[.]30[.]40"), "card {} it is": ("card", "4111/1111/1111/1111"),
+    }
+    for text, (kind, what) in lost.items():
+        base, every = pii.find(tagger, [text.format(what)])[0]
+        what = what.removesuffix(" 170.106.47.218")  # the pattern takes both numbers for one phone, of too many digits
+        start = text.index("{")
+        assert (pii.KINDS.index(kind), start, start + len(what)) in set(every) - set(base) and set(base) <= set(every), text
+
+
+def test_spans_over_the_edges_of_windows_are_proposed_whole(tagger):
+    long = "katharina.margarete.von.hohenstein-lindau_88@mail.department-of-physics.university.example.org"
+    assert len(long) > pii.WINDOW + 16
+    for what, kind in ((long, 0), ("4111 1111 1111 1111", 2), ("anna.smith@mail.example.com", 0)):
+        for shift in range(0, pii.STRIDE, 3):
+            text = " ".join(PLAIN_WORDS)[shift:100].rpartition(" ")[0] + " " + what + " and so on until the end of it all"
+            start = text.index(what)
+            assert (kind, start, start + len(what)) in {tuple(p[1:]) for p in pii.proposals(tagger, [text])[0]}, (what, shift)
+
+
+def test_network_leaves_ordinary_texts_alone(spark, tagger):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.scan(d, model=tagger)
+    assert found.where("n_added > 0").count() <= 5 and found.where("n_added > 0 AND n_email + n_ip + n_card + n_phone = 0").count() <= 2
+
+
+def test_pii_rows_against_plain_patterns(spark, data, tagger):
+    d = documents(spark, data)
+    for r in pii.scan(d, model=tagger).join(d.select("doc_id", "text"), "doc_id").collect():
+        base = brute_base(r.text)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, *_ in base) for kind in PLAIN)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        every = [tuple(x.split(":")) for x in r.spans.split(",") if x]
+        assert {(k, str(a), str(b)) for k, a, b in base} <= set(every) and len(every) == len(base) + r.n_added
+        assert every == sorted(every, key=lambda x: (pii.KINDS.index(x[0]), int(x[1])))
 
 
 def test_pii_odd_rows(odd, empty, tagger):
