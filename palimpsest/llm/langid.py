@@ -18,8 +18,8 @@ from .common import modest, table
 from .tokens import slices
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 12, 8, 256
-#: At most so many documents of each language are learned from, and so many windows of each.
-LEARN_DOCS, LEARN_WINDOWS = 400, 4
+#: About so many documents of each language are learned from, so many windows of each, and so many languages, the most frequent ones.
+LEARN_DOCS, LEARN_WINDOWS, LEARN_LANGUAGES = 400, 4, 256
 
 
 def windows_of(text: str, size: int = WINDOW) -> np.ndarray:
@@ -144,30 +144,27 @@ def held_out() -> F.Column:
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 1
 
 
-def learn(docs: DataFrame, per_language: int = LEARN_DOCS) -> dict | None:
-    """Trains on at most ``per_language`` documents of each language, those with the smallest hash of their id.
+def learn(docs: DataFrame, per_language: int = LEARN_DOCS, most_languages: int = LEARN_LANGUAGES) -> dict | None:
+    """Trains on about ``per_language`` documents of each language, for the ``most_languages`` languages with the most documents (ties by name).
 
-    Only rows with text, language and doc_id whose crc32(doc_id) mod 3 is not 1 are learned from. The sample is chosen on ids
-    alone; then at most LEARN_WINDOWS + 1
-    windows of each chosen text come to the driver."""
+    Only rows with text, language and doc_id whose crc32(doc_id) mod 3 is not 1 are learned from. Languages are counted; then a
+    row is learned from if a hash of its id and text falls below the share of its language that ``per_language`` rows are, so no task
+    gathers a language. At most LEARN_WINDOWS + 1 windows of each chosen text come to the driver, equal ones once. Repeated
+    rows are chosen alike and count once; no rows to learn from give None."""
     usable = docs.where(~F.coalesce(held_out(), F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    from pyspark.sql import Window
-
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("bucket", F.pmod(F.xxhash64("lang", "doc_id"), F.lit(16)))
-    for group in (["lang", "bucket"], ["lang"]):  # so the last task of a language sees at most 16 times per_language rows
-        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    ids = [r.doc_id for r in chosen.select("doc_id").collect()]
-    if not ids:
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not counts:
         return None
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
     def run(batches):
         for batch in batches:
             made = [(w, lang) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in lessons(text)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in made], pa.binary()), pa.array([lang for _, lang in made], pa.string())], names=["w", "lang"])
 
-    few = usable.where(F.col("doc_id").isin(ids)).select("text", "lang").mapInArrow(run, "w binary, lang string")
-    return train(sorted({(bytes(r.w), r.lang) for r in few.collect()}))
+    few = usable.where(draw < F.element_at(shares, F.col("lang"))).select("text", "lang").mapInArrow(run, "w binary, lang string").distinct()
+    return train(sorted((bytes(r.w), r.lang) for r in few.collect()))
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -190,6 +187,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), learn(docs))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
