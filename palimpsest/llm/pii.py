@@ -325,7 +325,7 @@ def tidied(text: str, kind: int, start: int, end: int) -> tuple[int, int]:
     return max([g + 1 for g in gaps if g < at], default=start), min([g for g in gaps if g > at], default=end)
 
 
-def proposals(model: Tagger, texts: list[str], most: int = 2048) -> list[list[tuple[float, int, int, int]]]:
+def proposals(model: Tagger, texts: list[str], most: int = 512) -> list[list[tuple[float, int, int, int]]]:
     """(score, kind, start, end) of what the windows of each text hold.
 
     A score is the sum, over a span's characters, of the probability of its kind less a half. A span that begins before the next window and

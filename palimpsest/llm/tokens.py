@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 
 #: Words that a worker remembers (about 200 bytes each); beyond it only those of the texts at hand are kept.
-REMEMBER = 500_000
+REMEMBER = 250_000
 #: The same where a job does nothing but tokenize, and bytes of text that it then takes at once: less work for more memory.
 REMEMBER_MORE, MORE_BYTES = 1_200_000, 4 << 20
 #: Words that one call of the tokenizer encodes together.
