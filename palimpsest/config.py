@@ -30,7 +30,7 @@ KOREAN = RulePack(
     cardinality_one=("직업", "거주지", "반려동물_이름"),
     mutability_high=("직업", "거주지", "일상_사소"),
     mutability_low=("신체_특성", "가족", "반려동물_이름", "지인_반려동물"),
-    standing=("직업", "거주지", "반려동물_이름", "신체_특성", "가족", "선호", "지인_반려동물"),
+    standing=("직업", "거주지", "반려동물_이름", "신체_특성", "가족", "선호", "지인_반려동물", "지인_직업", "관계_배경"),
 )
 
 # A rule pack whose patterns occur in the bundled tables.
@@ -81,5 +81,3 @@ class Config:
 
 
 DEFAULT = Config()
-#: The chats of the bundled tables have eight turns at most, so windows are shorter there.
-SHORT_CHATS = Config(window_turns=4, window_chunk=2, dedup_window=4)

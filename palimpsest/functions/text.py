@@ -10,8 +10,6 @@ from ..config import LATIN, RulePack
 #: Characters that may stand at either end of a word.
 EDGE = r"^[.,?!…~]+|[.,?!…~]+$"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-#: A word loses at most so many endings.
-PEELS = 8
 
 
 def let(value: Column, body) -> Column:
@@ -52,7 +50,7 @@ def hybrid(text: Column) -> Column:
 def stem(word: Column, pack: RulePack = LATIN) -> Column:
     """Peels endings off until none is left or one character remains."""
     once = lambda w: F.when(F.length(w) > 1, F.regexp_replace(w, pack.endings, "")).otherwise(w)
-    peeled = F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), word, lambda w, _: once(w))
+    peeled = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), word, lambda w, _: once(w))  # every ending has a character at least
     return F.when(word.rlike(pack.endings), peeled).otherwise(word)  # most words have no ending and are looked at once
 
 

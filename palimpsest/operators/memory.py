@@ -29,10 +29,14 @@ def best(rows: DataFrame, k: int) -> DataFrame:
 
 def recent(turns: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(chat, now, seq, role, text): the turns in every turn's window. The window's far end moves in steps of ``window_chunk``, so it
-    holds between ``window_turns - 1`` and ``window_turns + window_chunk - 2`` turns."""
-    a, b = turns.select("chat", F.col("seq").alias("now")), turns.select("chat", "seq", "role", "text")
-    anchor = F.floor(F.col("now") / config.window_chunk) * config.window_chunk
-    return a.join(b, "chat").where((F.col("seq") > anchor - config.window_turns) & (F.col("seq") < F.col("now")))
+    holds between ``window_turns - 1`` and ``window_turns + window_chunk - 2`` turns.
+
+    A turn is handed to the few steps whose windows can hold it, so turns meet by chat and step, not by chat."""
+    step = config.window_chunk
+    first = F.floor(F.col("seq") / step) * step
+    a = turns.select("chat", F.col("seq").alias("now"), first.alias("anchor"))
+    b = turns.select("chat", "seq", "role", "text", F.explode(F.sequence(first, F.greatest(first, F.col("seq") + config.window_turns - 1), F.lit(step).cast("long"))).alias("anchor"))
+    return a.join(b, ["chat", "anchor"]).where((F.col("seq") > F.col("anchor") - config.window_turns) & (F.col("seq") < F.col("now"))).drop("anchor")
 
 
 def block(name: str | Column, volatility: float, scope: str, text: Column) -> list[Column]:

@@ -79,12 +79,13 @@ def arm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@book.query(f"SELECT source, count(*) AS members, sum(length({D}))::BIGINT AS chars, md5(string_agg(md5({D}), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@book.query("SELECT conv_id, count(*) AS members, sum(length(text))::BIGINT AS chars, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def session_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """texts of a source put together in order; a digest stands for the chunk's contents. Only hashes are gathered by source."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    g = d.groupBy("source").agg(F.count("*").alias("members"), F.sum(F.length("t")).cast("long").alias("chars"), F.sort_array(F.collect_list(F.struct("doc_id", F.md5(F.col("t").cast("binary")).alias("h")))).alias("c"))
-    return g.select("source", "members", "chars", F.md5(F.array_join(F.transform("c", lambda x: x["h"]), "").cast("binary")).alias("digest"))
+    """the turns of a session put together in order, as one text to retrieve; a digest stands for it. A session is one conversation."""
+    t = table(spark, sf_dir, "conversations")
+    line = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
+    g = t.groupBy("conv_id").agg(F.count("*").alias("members"), F.sum(F.length("text")).alias("chars"), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("chunk"))
+    return g.select("conv_id", "members", "chars", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +107,33 @@ rec AS (SELECT depth, weight, arm, avg(hit) AS recall FROM (SELECT sn.depth, sn.
     ELSE (sn.depth < 10 OR coalesce(rank, 99999) <= {C.top_k})::INT END AS hit FROM sn LEFT JOIN vr ON vr.query_id = sn.query_id AND vr.depth = sn.depth AND vr.doc_id = sn.gold, (VALUES ('oracle'), ('window'), ('rag'), ('window_rag')) a(arm)) GROUP BY ALL)"""
 
 
+#: Neighbouring doc_ids that are summed together.
+BLOCK = 10_000
+
+
+def sizes_upto(seen: DataFrame, points: DataFrame) -> DataFrame:
+    """(upto, n, terms): how many documents of ``seen(doc_id, dl)`` come up to each of ``points(upto)``, and their terms.
+
+    Sums of blocks of ids are added up (one row a block meets in one task); within its own block a point meets the documents one by one."""
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    seen = seen.withColumn("block", block("doc_id"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    both = seen.groupBy("block").agg(F.count("*").alias("n"), F.sum("dl").alias("terms")).unionByName(points.select(block("upto").alias("block"), F.lit(0).alias("n"), F.lit(0).alias("terms")))
+    blocks = both.groupBy("block").agg(F.sum("n").alias("n"), F.sum("terms").alias("terms"))
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("terms").over(before), F.lit(0)).alias("terms0"))
+    own = points.withColumn("block", block("upto")).join(blocks, "block").join(seen, "block", "left")
+    inside = F.col("doc_id") <= F.col("upto")
+    sums = own.groupBy("upto", "n0", "terms0").agg(F.count_if(inside).alias("n"), F.sum(F.when(inside, F.col("dl")).otherwise(0)).alias("terms"))
+    return sums.select("upto", (F.col("n0") + F.col("n")).alias("n"), (F.col("terms0") + F.col("terms")).alias("terms"))
+
+
 def depth_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(arm, depth, weight, recall): each probe sees only the documents up to its own time; frequencies and lengths are those of what it sees."""
     index, asked, docs = corpus(spark, sf_dir)
     snaps = snapshots(spark, sf_dir)
     lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     seen = docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    sizes = snaps.select("upto").distinct().join(seen, F.col("doc_id") <= F.col("upto")).groupBy("upto").agg(F.count("*").alias("n"), F.sum("dl").alias("terms"))
+    sizes = sizes_upto(seen, snaps.select("upto").distinct())
     hits = snaps.join(asked, "query_id").join(index, "term").where("doc_id <= upto")
     df = hits.groupBy("query_id", "depth", "term").agg(F.count("*").alias("df"))
     rows = hits.join(df, ["query_id", "depth", "term"]).join(lengths, "doc_id").join(sizes, "upto")

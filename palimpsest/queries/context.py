@@ -8,17 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import SHORT_CHATS
+from ..config import DEFAULT
 from ..operators import facts as fact_ops
 from ..operators import gate, memory
-from .base import Book, table
+from .base import Book, saved, table
 from .facts import STORED, stored
 from .texts import LAST, SQL_PAIRS, SQL_RAW, stems_cte
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
-C = SHORT_CHATS
+C = DEFAULT
 P = C.pack
+#: Tokens of a range in which percentiles are looked for.
+WIDTH = 1024
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +193,13 @@ def replay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_percentiles(rows: DataFrame, value: str, points: tuple[int, ...]) -> DataFrame:
-    """One row with p<point> columns: the value at place n * p / 100 of the sorted values. Only counts of distinct values meet in one task."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value))).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
+    """One row with p<point> columns: the value at place n * p / 100 of the sorted values, which are numbers of tokens.
+
+    Counts by ranges of WIDTH tokens tell which range holds a place (one row a range meets in one task), and only its values are counted one by one."""
+    counts = saved(rows.groupBy(F.floor(F.col(value) / WIDTH).alias("range"), value).agg(F.count("*").alias("c")), "counts")
+    ranges = counts.groupBy("range").agg(F.sum("c").alias("c")).withColumn("after", F.sum("c").over(Window.orderBy("range"))).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
     place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100))
-    return upto.agg(*(F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(f"p{p}") for p in points))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), place(p).alias("place")) for p in points)))
+    held = ranges.select("range", "c", "after", each.alias("x")).select("range", (F.col("after") - F.col("c")).alias("before"), "after", "x.p", "x.place").where("place >= before AND place < after")
+    upto = counts.join(held, "range").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("p").orderBy(value)))
+    return upto.agg(*(F.min(F.when((F.col("p") == p) & (F.col("upto") > F.col("place")), F.col(value))).alias(f"p{p}") for p in points))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import text as T
 from ..operators import retrieval as ops
-from .base import Book, table
+from .base import Book, saved, table
 from .texts import SQL_WORDS
 
 book = Book()
@@ -17,10 +17,10 @@ C = DEFAULT
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, query terms and documents."""
+    """Postings, which are written once, query terms and documents."""
     docs = table(spark, sf_dir, "documents")
     asked = ops.postings(table(spark, sf_dir, "benchmark"), T.words(F.col("text")), "item_id").select(F.col("item_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    return ops.postings(docs, T.words(F.col("text"))), asked, docs
+    return saved(ops.postings(docs, T.words(F.col("text"))), "postings"), asked, docs
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,9 @@ def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id) where the document holds the passage. A passage's first words must all be in the document's postings, which
-    narrows the pairs before texts are compared."""
+    """(query_id, doc_id) where the document holds the passage."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    lead = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.substring("text", 1, 24).alias("start")).where("length(passage) > 0")
-    return lead.join(docs, docs["text"].contains(lead["start"]) & docs["text"].contains(lead["passage"])).select("query_id", "doc_id")
+    return ops.holding(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
 
 
 W = SQL_WORDS.format("text")
@@ -139,7 +137,6 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(q.v, x.v), 6
 def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors by inner product."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    s = ops.dense(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    s = s.withColumn("score", F.round("score", 6))
+    s = ops.dense(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), C.top_k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "rank", "vec_id", "score")
+    return s.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= C.top_k).select("query_id", "rank", "vec_id", "score")

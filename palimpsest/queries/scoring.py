@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, SHORT_CHATS
+from ..config import DEFAULT
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import episodes
@@ -19,7 +19,7 @@ from .texts import LAST, SQL_RAW, SQL_ROOTS, stems_cte
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
-C = SHORT_CHATS
+C = DEFAULT
 
 
 @book.query(f"""WITH RECURSIVE {SQL_ROOTS}, ev AS (SELECT conv_id AS chat, turn AS seq, turn // {C.dedup_window} AS bucket, coalesce(r, []::VARCHAR[]) AS r, row_number() OVER (PARTITION BY conv_id, turn // {C.dedup_window} ORDER BY turn, text) AS rn

@@ -18,17 +18,19 @@ SQL_RAW = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
 SQL_PAIRS = "CASE WHEN length({0}) < 2 THEN [{0}] ELSE list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)) END"
 
 
+#: Rounds that the SQL peels: every ending of the Latin pack has two characters at least, so words of twice as many characters reach their fixpoint.
+PEELS = 24
 PEEL = f"CASE WHEN length(w) > 1 THEN regexp_replace(w, '{LATIN.endings}', '') ELSE w END"
 
 
 def stems_cte(source: str, word: str, keep: str) -> str:
     """CTEs st0..stN that peel endings from ``word`` of ``source``, carrying the columns ``keep``."""
     out = [f"st0 AS (SELECT {keep}, {word} AS w FROM {source})"]
-    out += [f"st{i + 1} AS (SELECT {keep}, {PEEL} AS w FROM st{i})" for i in range(T.PEELS)]
+    out += [f"st{i + 1} AS (SELECT {keep}, {PEEL} AS w FROM st{i})" for i in range(PEELS)]
     return ", ".join(out)
 
 
-LAST = f"st{T.PEELS}"
+LAST = f"st{PEELS}"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
