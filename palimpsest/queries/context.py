@@ -5,12 +5,15 @@ A chat's stored items are its assistant turns. Their importance, emotion and sur
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..operators import facts as fact_ops
 from ..operators import gate, memory
+from . import costs
 from .base import Book, saved, table
 from .facts import STORED, stored
 from .texts import LAST, SQL_PAIRS, SQL_RAW, stems_cte
@@ -111,39 +114,138 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("chat", "now").agg(F.count("*").alias("window_turns"), F.sum(T.tokens(F.col("text"))).alias("window_tokens"))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for every block of every user turn's context."""
-    u, b = asked(spark, sf_dir), memory.block
+# --- what a chat always carries: its character, its relationship, its digests, its debts -------------------------------------------
+
+#: Versions of every character; a chat keeps the version that it began with.
+VERSIONS = 2
+#: A user's turns before its chat begins, on the clock by which debts fall due.
+CLOCK = 40
+#: Deleted turns: those whose chat and place give this remainder.
+FORGOTTEN = "(chat * 7 + seq) % 5 = 0"
+FAILED = "(memory could not be loaded; do not pretend to know, say that you don't)"
+
+
+def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: (chat, persona, speech) of the version of the character that the chat is pinned to; a nation is a character."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    known = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("character"), F.explode(F.sequence(F.lit(1), F.lit(VERSIONS))).alias("version"), "n_name", "r_name")
+    known = known.select("character", "version", F.concat(F.lit("You are "), "n_name", F.lit(".")).alias("persona"), F.concat(F.lit("Speak as they do in "), "r_name", F.lit(", manner "), F.col("version").cast("string"), F.lit(".")).alias("speech"))
+    chats = turns(spark, sf_dir).select("chat").distinct().select("chat", (F.col("chat") % 25).cast("int").alias("character"), (F.col("chat") % VERSIONS + 1).cast("int").alias("version"))
+    return chats.join(known, ["character", "version"]).select("chat", "persona", "speech")
+
+
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chat, line, note): the line is injected, the free note is not."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("chat")).agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"), (F.count_if(F.col("event_type") == "purchase") - F.count_if(F.col("event_type") == "error")).alias("affinity"), F.max_by("props", F.struct("ts", "event_id")).alias("note")
+    )
+    return e.select("chat", F.concat(F.lit("stage="), "stage", F.lit(" affinity="), F.col("affinity").cast("string"), F.lit(" called_as="), F.when(F.col("affinity") > 0, "friend").otherwise("you")).alias("line"), "note")
+
+
+def digests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Digests (chat, kind, text) and what is stale of them (derived_kind, derived_key): a digest of deleted turns waits until it is made anew."""
+    t = turns(spark, sf_dir).where("role = 'assistant'")
+    last = Window.partitionBy("chat").orderBy(F.desc("seq"))
+    parts = t.where("seq <= 3").select("chat", F.lit("lifetime").alias("kind"), "seq", "text").unionByName(t.withColumn("n", F.row_number().over(last)).where("n = 1").select("chat", F.lit("recent").alias("kind"), "seq", "text"))
+    made = parts.groupBy("chat", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.substring("text", 1, 40).alias("x")))), lambda x: x["x"]), " / ").alias("text"))
+    source = F.concat_ws(":", F.col("chat").cast("string"), F.col("seq").cast("string")).alias("source_id")
+    links = parts.select(F.lit("turn").alias("source_kind"), source, F.lit("digest").alias("derived_kind"), F.concat_ws(":", F.col("chat").cast("string"), "kind").alias("derived_key"))
+    gone = fact_ops.stale_from(turns(spark, sf_dir).where(FORGOTTEN).select(F.lit("turn").alias("source_kind"), source), links)
+    keyed = made.withColumn("derived_kind", F.lit("digest")).withColumn("derived_key", F.concat_ws(":", F.col("chat").cast("string"), "kind"))
+    return keyed, gone
+
+
+def due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chat, now, setup) of the debts that are raised at a turn of the chat."""
+    d = costs.debts(spark, sf_dir).select(F.col("user_id").alias("chat"), "setup", F.explode(F.array("a1", "a2", "a3")).alias("at"))
+    return d.where("at IS NOT NULL").select("chat", (F.col("at") - CLOCK).alias("now"), "setup")
+
+
+CARRIED = f"""ch AS (SELECT DISTINCT chat FROM t), pe AS (SELECT chat, 'You are ' || n_name || '.' AS persona, 'Speak as they do in ' || r_name || ', manner ' || (chat % {VERSIONS} + 1) || '.' AS speech
+    FROM ch JOIN nation ON n_nationkey = chat % 25 JOIN region ON r_regionkey = n_regionkey),
+re AS (SELECT user_id AS chat, arg_max(event_type, (ts, event_id)) AS stage, count(*) FILTER (WHERE event_type = 'purchase') - count(*) FILTER (WHERE event_type = 'error') AS affinity, arg_max(props, (ts, event_id)) AS note FROM events GROUP BY 1),
+dp AS (SELECT chat, 'lifetime' AS kind, seq, text FROM t WHERE role = 'assistant' AND seq <= 3 UNION ALL SELECT chat, 'recent', max(seq), arg_max(text, seq) FROM t WHERE role = 'assistant' GROUP BY 1),
+dg AS (SELECT chat, kind, string_agg(substr(text, 1, 40), ' / ' ORDER BY seq) AS text, bool_or({FORGOTTEN}) AS stale FROM dp GROUP BY ALL),
+du AS (SELECT user_id AS chat, due_at - {CLOCK} AS now, setup FROM (SELECT user_id, setup, unnest([a1, a2, a3]) AS due_at FROM ({costs.FOLDED} SELECT * FROM s3)) WHERE due_at IS NOT NULL)"""
+
+
+def evidence_facts(spark: SparkSession, sf_dir: str, standing: tuple[str, ...] | None) -> DataFrame:
+    """(chat, line) of live facts; of the standing predicates, or of all."""
+    live = fact_ops.current(stored(spark, sf_dir), standing)
+    return live.select(F.col("subject").alias("chat"), F.concat_ws(": ", "predicate", "object").alias("line"))
+
+
+def blocks(spark: SparkSession, sf_dir: str, u: DataFrame | None = None, gate_variant: str = "shipped", cut: float = C.relevance_cut, standing: tuple[str, ...] | None = P.standing, inject: bool = True, facts_failed: bool = False) -> DataFrame:
+    """One row for every block of the context of every user turn, or of those in ``u(chat, now, query)``.
+
+    ``inject`` tells whether facts are injected, ``standing`` which (None: all), ``facts_failed`` that they could not be read, which the context
+    then says. The gate's variant and the cut of relevance decide what is retrieved."""
+    u, b = asked(spark, sf_dir) if u is None else u, memory.block
     t = turns(spark, sf_dir)
     now = u.select("chat", "now")
-    facts = fact_ops.current(stored(spark, sf_dir), P.standing)
-    known = facts.groupBy(F.col("subject").alias("chat")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "predicate", "object"))), "\n").alias("known"))
     few = t.groupBy("chat").agg((F.count("*") <= C.window_turns).alias("first_chat"))
-    facts_text = F.coalesce("known", F.when(F.col("first_chat"), "(none yet)\nThis is the first conversation.").otherwise("(none yet)"))
+    if facts_failed:
+        facts = now.select(*b("known_facts", 2.5, "chat", F.lit(FAILED)))
+    else:
+        known = evidence_facts(spark, sf_dir, standing).groupBy("chat").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("known"))
+        facts_text = F.coalesce("known", F.when(F.col("first_chat"), "(none yet)\nThis is the first conversation.").otherwise("(none yet)"))
+        facts = now.join(known, "chat", "left").join(few, "chat").select(*b("known_facts", 2.5, "chat", facts_text))
     state = t.where("role = 'system'").groupBy("chat").agg(F.max(F.struct("seq", "text"))["text"].alias("text"))
-    reason = gated(spark, sf_dir).where("variant = 'shipped'").where(gate.opens(F.col("reason"))).select("chat", "now")
-    hits = memory.best(memory.judged(asked(spark, sf_dir).join(reason, ["chat", "now"], "left_semi"), items(spark, sf_dir), C), C.top_k)
+    character, (digest, gone) = characters(spark, sf_dir), digests(spark, sf_dir)
+    fresh = fact_ops.without_stale(digest, gone)
+    reason = gated(spark, sf_dir).where(F.col("variant") == gate_variant).where(gate.opens(F.col("reason"))).select("chat", "now")
+    config = replace(C, relevance_cut=cut)
+    hits = memory.best(memory.judged(u.join(reason, ["chat", "now"], "left_semi"), items(spark, sf_dir), config), C.top_k)
     r = memory.lines(memory.recent(t, C), F.col("seq"), F.concat_ws(": ", "role", "text"))
+    owed = memory.lines(due(spark, sf_dir), F.col("setup"), F.concat(F.lit("- owed since turn "), F.col("setup").cast("string")))
     return memory.assembled([
         now.select(*b("system", 0, "global", F.lit("Play the character. Do not leave the setting."))),
-        now.join(known, "chat", "left").join(few, "chat").select(*b("known_facts", 2.5, "chat", facts_text)),
+        now.join(character, "chat").select(*b("persona", 1, "character", F.col("persona"))),
+        now.join(character, "chat").select(*b("speech_rules", 1, "character", F.col("speech"))),
+        *([facts] if inject else []),
+        now.join(relationships(spark, sf_dir), "chat", "left").select(*b("relationship", 3, "chat", F.coalesce("line", F.lit("stage=none affinity=0 called_as=you")))),
+        now.join(fresh.where("kind = 'lifetime'"), "chat").select(*b("digest:lifetime", 4, "chat", F.col("text"))),
+        now.join(fresh.where("kind = 'recent'"), "chat").select(*b("digest:recent", 5, "chat", F.col("text"))),
         now.join(state, "chat").select(*b("scene", 7, "chat", F.col("text"))),
         r.join(now, ["chat", "now"], "left_semi").select(*b("recent", 8, "chat", F.col("text"))),
+        owed.join(now, ["chat", "now"], "left_semi").select(*b("debt", 8.5, "chat", F.col("text"))),
         memory.lines(hits, F.col("rank"), F.concat(F.lit("[memory] "), F.col("summary"))).select(*b("retrieved", 9, "chat", F.col("text"))),
         u.select(*b("utterance", 10, "chat", F.col("query"))),
     ])
 
 
-BLOCKS = f"""{STORED}, {JUDGED}, {RECENT}, nw AS (SELECT chat, now FROM ut),
-kn AS (SELECT subject AS chat, string_agg(predicate || ': ' || object, chr(10) ORDER BY predicate || ': ' || object) AS known FROM stored WHERE valid_until IS NULL AND predicate IN ({', '.join(f"'{p}'" for p in P.standing)}) GROUP BY 1),
-fw AS (SELECT chat, count(*) <= {C.window_turns} AS first_chat FROM t GROUP BY 1), sy AS (SELECT chat, arg_max(text, seq) AS text FROM t WHERE role = 'system' GROUP BY 1),
-blocks AS (SELECT *, greatest(1, floor(length(text) * 1.5))::BIGINT AS tokens FROM (
-    SELECT chat, now, 'system' AS name, 0.0::DOUBLE AS volatility, 'global' AS scope, 'Play the character. Do not leave the setting.' AS text FROM nw
-    UNION ALL SELECT chat, now, 'known_facts', 2.5, 'chat', coalesce(known, CASE WHEN first_chat THEN '(none yet)' || chr(10) || 'This is the first conversation.' ELSE '(none yet)' END) FROM nw LEFT JOIN kn USING (chat) JOIN fw USING (chat)
-    UNION ALL SELECT chat, now, 'scene', 7, 'chat', text FROM nw JOIN sy USING (chat)
-    UNION ALL SELECT chat, now, 'recent', 8, 'chat', string_agg(role || ': ' || text, chr(10) ORDER BY seq) FROM rc JOIN nw USING (chat, now) GROUP BY chat, now
-    UNION ALL SELECT chat, now, 'retrieved', 9, 'chat', string_agg('[memory] ' || summary, chr(10) ORDER BY rank) FROM hits JOIN gd USING (chat, now) WHERE variant = 'shipped' AND reason IN ('past', 'contact', 'always') GROUP BY chat, now
-    UNION ALL SELECT chat, now, 'utterance', 10, 'chat', text FROM ut))"""
+def blocks_sql(name: str = "blocks", only: str = "SELECT chat, now, text FROM ut", gate_variant: str = "shipped", cut: float = C.relevance_cut, standing: tuple[str, ...] | None = P.standing, inject: bool = True) -> str:
+    """CTE ``name``, after those of SHARED, for the turns that ``only`` gives."""
+    predicates = f"AND predicate IN ({', '.join(f"'{p}'" for p in standing)})" if standing else ""
+    kept = f"weight >= {C.importance_gate} AND relevance >= {cut}"
+    facts = f"UNION ALL SELECT chat, now, 'known_facts', 2.5, 'chat', coalesce(known, CASE WHEN first_chat THEN '(none yet)' || chr(10) || 'This is the first conversation.' ELSE '(none yet)' END) FROM {name}_u LEFT JOIN {name}_k USING (chat) JOIN fw USING (chat)"
+    return f"""{name}_u AS ({only}), {name}_k AS (SELECT subject AS chat, string_agg(predicate || ': ' || object, chr(10) ORDER BY predicate || ': ' || object) AS known FROM stored WHERE valid_until IS NULL {predicates} GROUP BY 1),
+{name}_h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat, now ORDER BY score DESC, item) AS rank FROM judged WHERE {kept}) WHERE rank <= {C.top_k}),
+{name} AS (SELECT *, greatest(1, floor(length(text) * 1.5))::BIGINT AS tokens FROM (
+    SELECT chat, now, 'system' AS name, 0.0::DOUBLE AS volatility, 'global' AS scope, 'Play the character. Do not leave the setting.' AS text FROM {name}_u
+    UNION ALL SELECT chat, now, 'persona', 1, 'character', persona FROM {name}_u JOIN pe USING (chat) UNION ALL SELECT chat, now, 'speech_rules', 1, 'character', speech FROM {name}_u JOIN pe USING (chat)
+    {facts if inject else ''}
+    UNION ALL SELECT chat, now, 'relationship', 3, 'chat', coalesce('stage=' || stage || ' affinity=' || affinity || ' called_as=' || CASE WHEN affinity > 0 THEN 'friend' ELSE 'you' END, 'stage=none affinity=0 called_as=you') FROM {name}_u LEFT JOIN re USING (chat)
+    UNION ALL SELECT chat, now, 'digest:' || kind, CASE WHEN kind = 'lifetime' THEN 4 ELSE 5 END, 'chat', dg.text FROM {name}_u JOIN dg USING (chat) WHERE NOT stale
+    UNION ALL SELECT chat, now, 'scene', 7, 'chat', sy.text FROM {name}_u JOIN sy USING (chat)
+    UNION ALL SELECT chat, now, 'recent', 8, 'chat', string_agg(role || ': ' || rc.text, chr(10) ORDER BY seq) FROM rc JOIN {name}_u USING (chat, now) GROUP BY chat, now
+    UNION ALL SELECT chat, now, 'debt', 8.5, 'chat', string_agg('- owed since turn ' || setup, chr(10) ORDER BY setup) FROM du JOIN {name}_u USING (chat, now) GROUP BY chat, now
+    UNION ALL SELECT chat, now, 'retrieved', 9, 'chat', string_agg('[memory] ' || summary, chr(10) ORDER BY rank) FROM {name}_h JOIN gd USING (chat, now) JOIN {name}_u USING (chat, now) WHERE variant = '{gate_variant}' AND reason IN ('past', 'contact', 'always') GROUP BY chat, now
+    UNION ALL SELECT chat, now, 'utterance', 10, 'chat', text FROM {name}_u))"""
+
+
+SHARED = f"""{STORED}, {JUDGED}, {RECENT}, {CARRIED}, nw AS (SELECT chat, now FROM ut), fw AS (SELECT chat, count(*) <= {C.window_turns} AS first_chat FROM t GROUP BY 1),
+sy AS (SELECT chat, arg_max(text, seq) AS text FROM t WHERE role = 'system' GROUP BY 1)"""
+BLOCKS = f"{SHARED}, {blocks_sql()}"
+
+
+@book.query(f"{SHARED} SELECT chat, 'excluded' AS kind, 'stage_note: ' || note AS what FROM re JOIN ch USING (chat) WHERE note IS NOT NULL UNION ALL SELECT chat, 'stale', 'digest:' || kind FROM dg WHERE stale")
+def context_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a chat has but its contexts leave out: the free note on the relationship, and digests of deleted turns."""
+    digest, gone = digests(spark, sf_dir)
+    chats = turns(spark, sf_dir).select("chat").distinct()
+    notes = relationships(spark, sf_dir).join(chats, "chat", "left_semi").where("note IS NOT NULL").select("chat", F.lit("excluded").alias("kind"), F.concat(F.lit("stage_note: "), "note").alias("what"))
+    return notes.unionByName(digest.join(gone, ["derived_kind", "derived_key"], "left_semi").select("chat", F.lit("stale").alias("kind"), F.concat(F.lit("digest:"), "kind").alias("what")))
 
 
 @book.query(f"{BLOCKS} SELECT chat, now, name, volatility, scope, tokens FROM blocks")
@@ -152,7 +254,7 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("chat", "now", "name", "volatility", "scope", "tokens")
 
 
-@book.query(f"{BLOCKS} SELECT chat, now, count(*) AS n_blocks, sum(tokens)::BIGINT AS tokens, string_agg('[' || name || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY volatility) AS context FROM blocks GROUP BY ALL")
+@book.query(f"{BLOCKS} SELECT chat, now, count(*) AS n_blocks, sum(tokens)::BIGINT AS tokens, string_agg('[' || name || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY volatility, name) AS context FROM blocks GROUP BY ALL")
 def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the whole context of every user turn."""
     return memory.rendered(blocks(spark, sf_dir))
