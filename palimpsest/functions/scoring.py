@@ -21,6 +21,61 @@ COLD_START_KOREAN = {"past": r"(했잖아|말했잖아|기억나지|알잖아|
 COLD_START_LATIN = {"past": r"(was|were|hier|ayer|gestern)", "admit": r"(not|nicht|pas|nunca)", "ask": r"[?]|(what|who|qué|quoi|was)"}
 
 
+# Number words with their counters, endings and small words that the typed scorer looks past.
+NUMBERS_KOREAN = (("(하나|한\\s*[명개번회]|1\\s*[명개번회])", "①"), ("(둘|두\\s*[명개번회]|2\\s*[명개번회])", "②"), ("(셋|세\\s*[명개번회]|3\\s*[명개번회])", "③"), ("(넷|네\\s*[명개번회]|4\\s*[명개번회])", "④"))
+NUMBERS_LATIN = ((r"\b(one|eins|uno|1)\b", "①"), (r"\b(two|zwei|dos|2)\b", "②"), (r"\b(three|drei|tres|3)\b", "③"))
+TAIL_KOREAN, TAIL_LATIN = "(하|해|한|히|잖|스럽|롭)+$", "(e|a|o)+$"
+SMALL_KOREAN, SMALL_LATIN = ("안", "은", "는", "이", "가"), ("th", "of", "d")
+#: Questions whose answers only a person can judge.
+BY_HAND = ("abstention", "coverage")
+
+# What a state forbids, as (name, field, value, pattern), and who may not enter a closed scene.
+STATE_RULES_KOREAN = (("stage=헤어짐", "stage", "헤어짐", GUARD_KOREAN["affection"]), ("stage=낯섦", "stage", "낯섦", GUARD_KOREAN["affection"]), ("speech=반말", "speech", "반말", GUARD_KOREAN["polite"]))
+STATE_RULES_LATIN = (("stage=apart", "stage", "apart", r"\b(idiot|clown)\b"), ("stage=strange", "stage", "strange", r"\b(idiot|clown)\b"), ("speech=casual", "speech", "casual", r"\b(scum|pathetic|worthless)\b"))
+ROSTER_LATIN = r"\b(licensed|casino|copyright)\b"
+ROSTER_RULE = "scene=roster"
+
+
+def violations(text: Column, state: dict[str, Column], rules: tuple, roster: str, excuse: str | None = None) -> Column:
+    """The names of the rules that a text breaks in its state, an array; ``state`` has the fields of the rules and ``locked``, a flag.
+
+    With ``excuse`` a match does not count if an excuse stands near it, or, for the roster of a closed scene, anywhere."""
+    names = [F.when((state[field] == value) & violates(text, forbid, excuse), name) for name, field, value, forbid in rules]
+    outside = state["locked"] & text.rlike(roster)
+    names.append(F.when(outside if excuse is None else outside & ~text.rlike(excuse), ROSTER_RULE))
+    return F.filter(F.array(*names), lambda n: n.isNotNull())
+
+
+def canonical(text: Column, pack: RulePack, numbers: tuple, tail: str) -> Column:
+    """The words of a text as roots: number words unified, marks and endings gone."""
+    for pattern, sign in numbers:
+        text = F.regexp_replace(text, pattern, sign)
+    root = lambda w: T.let(T.stem(T.bare(w), pack), lambda s: F.when(F.length(s) > 1, F.regexp_replace(s, tail, "")).otherwise(s))
+    return F.transform(T.raw_words(text), root)
+
+
+def typed_verdict(kind: Column, gold: Column, answer: Column, pack: RulePack = LATIN, numbers: tuple = NUMBERS_LATIN, tail: str = TAIL_LATIN, small: tuple = SMALL_LATIN) -> Column:
+    """True if one of the gold's alternatives, set apart by ``/``, stands in the answer in one piece or word by word, false if no word of any does.
+
+    Null is left to a person: parts of an alternative, questions without gold, and kinds where not knowing is the right answer."""
+
+    def judge(whole: Column) -> Column:
+        def share(alternative: Column) -> Column:
+            def of(words: Column) -> Column:
+                content = F.filter(words, lambda w: (w != "") & ~w.isin(*small))
+                hits = F.size(F.filter(content, lambda w: whole.contains(w)))
+                one = F.array_join(words, "")
+                return F.when((one != "") & whole.contains(one), 1.0).when(F.size(content) > 0, hits / F.size(content)).otherwise(0.0)
+
+            return T.let(canonical(alternative, pack, numbers, tail), of)
+
+        best = F.array_max(F.transform(F.filter(F.split(gold, r"\s*/\s*"), lambda a: F.trim(a) != ""), share))
+        return F.when(best == 1, True).when(best > 0, F.lit(None).cast("boolean")).otherwise(False)
+
+    by_hand = kind.isin(*BY_HAND) | gold.isNull() | (F.trim(gold) == "")
+    return F.when(by_hand, F.lit(None).cast("boolean")).otherwise(T.let(F.array_join(canonical(answer, pack, numbers, tail), ""), judge))
+
+
 def violates(text: Column, forbid: str, excuse: str | None = None) -> Column:
     """Whether a text has a forbidden match; with ``excuse``, whether the first match has no excuse within REACH characters."""
     hit = text.rlike(forbid)

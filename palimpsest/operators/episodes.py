@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,21 +28,22 @@ def merged_into(sets: list[frozenset], at_least: float) -> list[int]:
 
 
 def clustered(sets: list[frozenset], at_least: float) -> list[int]:
-    """Greedy single link: every set joins the cluster with the closest member if that is close enough; of equal ones the first."""
-    clusters: list[list[int]] = []
-    out = []
-    for i, s in enumerate(sets):
-        best, which = 0.0, None
-        for c, members in enumerate(clusters):
-            score = max(overlap(s, sets[m]) for m in members)
-            if score > best:
-                best, which = score, c
-        if which is None or best < at_least:
-            clusters.append([])
-            which = len(clusters) - 1
-        clusters[which].append(i)
-        out.append(which)
-    return out
+    """Labels of greedy clusters: a set goes where its closest earlier set went if that is close enough, ties to the oldest cluster, else it founds one."""
+    ids: dict = {}
+    rows = [(i, ids.setdefault(t, len(ids))) for i, s in enumerate(sets) for t in s]
+    has = np.zeros((len(sets), len(ids)), np.float32)
+    has[tuple(np.array(rows, int).reshape(-1, 2).T)] = 1
+    both, size = has @ has.T, has.sum(1)
+    close = both / np.maximum(size[:, None] + size - both, 1).astype(float)
+    labels = np.zeros(len(sets), int)
+    founded = 0
+    for i in range(len(sets)):
+        best = np.zeros(founded + 1)
+        np.maximum.at(best, labels[:i], close[i, :i])
+        top = int(best.argmax())
+        labels[i] = top if best[top] > 0 and best[top] >= at_least else founded
+        founded += int(labels[i] == founded)
+    return labels.tolist()
 
 
 def dedup(items: DataFrame, config: Config = DEFAULT) -> DataFrame:

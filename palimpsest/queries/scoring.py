@@ -80,6 +80,22 @@ def guard_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("truth", F.explode(each).alias("g")).groupBy(F.col("g.version").alias("version")).agg(*S.confusion(F.col("g.hit"), F.col("truth")))
 
 
+STATE = {"stage": F.element_at(F.array(*map(F.lit, ("apart", "strange", "close"))), (F.col("doc_id") % 3 + 1).cast("int")), "speech": F.when(F.col("doc_id") % 2 == 0, "casual").otherwise("polite"), "locked": F.col("doc_id") % 5 == 0}
+SQL_STATE = {"stage": "['apart', 'strange', 'close'][doc_id % 3 + 1]", "speech": "CASE WHEN doc_id % 2 = 0 THEN 'casual' ELSE 'polite' END"}
+BROKEN = " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, version FROM (SELECT text, regexp_extract(text, '{forbid}') AS m, length(string_split_regex(text, '{forbid}')[1]) + 1 AS spot FROM documents WHERE {SQL_STATE[field]} = '{value}'), v WHERE m <> '' AND (version = 'v1' OR NOT regexp_matches({NEAR}, '{SQL_EXCUSE}'))"
+    for name, field, value, forbid in S.STATE_RULES_LATIN
+) + f" UNION ALL SELECT '{S.ROSTER_RULE}', version FROM documents, v WHERE doc_id % 5 = 0 AND regexp_matches(text, '{S.ROSTER_LATIN}') AND (version = 'v1' OR NOT regexp_matches(text, '{SQL_EXCUSE}'))"
+
+
+@book.query(f"WITH v AS (SELECT unnest(['v1', 'v2']) AS version) SELECT version, rule, count(*) AS hits FROM ({BROKEN}) GROUP BY ALL")
+def guard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What texts break of the rules of their state and of a closed scene, without and with excuses."""
+    each = F.array(*(F.struct(F.lit(v).alias("version"), S.violations(F.col("text"), STATE, S.STATE_RULES_LATIN, S.ROSTER_LATIN, e).alias("rules")) for v, e in (("v1", None), ("v2", G["excuse"]))))
+    found = table(spark, sf_dir, "documents").select(F.explode(each).alias("g")).select("g.version", F.explode("g.rules").alias("rule"))
+    return found.groupBy("version", "rule").agg(F.count("*").alias("hits"))
+
+
 CS = S.COLD_START_LATIN
 
 
@@ -109,6 +125,31 @@ def score_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("query_id", "rank", S.verdict(F.col("g"), F.array(F.col("whole"))).alias("ok"))
 
 
+def replaced(text: str) -> str:
+    for pattern, sign in S.NUMBERS_LATIN:
+        text = f"regexp_replace({text}, '{pattern}', '{sign}', 'g')"
+    return text
+
+
+ROOTED = f"list_transform(l, lambda w: CASE WHEN length(w) > 1 THEN regexp_replace(w, '{S.TAIL_LATIN}', '') ELSE w END)"
+PART = "array_to_string(list_slice(string_split(text, ' '), {0}, {1}), ' ')"
+
+
+@book.query(rf"""WITH gs AS (SELECT item_id, text, item_id % 4 = 0 AS by_hand, {PART.format(1, 3)} || ' / ' || {PART.format(4, 6)} AS gold FROM benchmark), al AS (SELECT item_id, n, {replaced('alt')} AS text FROM (SELECT item_id, unnest(string_split_regex(gold, '\s*/\s*')) AS alt, generate_subscripts(string_split_regex(gold, '\s*/\s*'), 1) AS n FROM gs) WHERE trim(alt) <> ''),
+an AS (SELECT doc_id AS item_id, {replaced("coalesce(text, '')")} AS text FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)), {stem_lists('al', 'text', 'item_id, n', 'ag')}, {stem_lists('an', 'text', 'item_id', 'aw')},
+cg AS (SELECT item_id, {ROOTED} AS r FROM ag), cw AS (SELECT an.item_id, coalesce(array_to_string({ROOTED}, ''), '') AS whole FROM an LEFT JOIN aw USING (item_id)),
+sh AS (SELECT item_id, CASE WHEN array_to_string(r, '') <> '' AND contains(whole, array_to_string(r, '')) THEN 1.0 WHEN len(c) > 0 THEN len(list_filter(c, lambda w: contains(whole, w))) / len(c) ELSE 0.0 END AS share
+    FROM (SELECT item_id, r, whole, list_filter(r, lambda w: w <> '' AND w NOT IN ({', '.join(f"'{w}'" for w in S.SMALL_LATIN)})) AS c FROM cg JOIN cw USING (item_id))),
+bs AS (SELECT item_id, max(share) AS best FROM sh GROUP BY 1)
+SELECT gs.item_id, CASE WHEN by_hand THEN NULL WHEN best = 1 THEN TRUE WHEN best > 0 THEN NULL ELSE FALSE END AS ok FROM gs JOIN an USING (item_id) LEFT JOIN bs USING (item_id)""")
+def score_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed scorer with alternatives, number words and kinds that are left to a person; the document of the same number is the answer."""
+    part = lambda a: F.array_join(F.slice(F.split("text", " "), a, 3), " ")
+    g = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 0, "abstention").otherwise("single_hop").alias("kind"), F.concat(part(1), F.lit(" / "), part(4)).alias("gold"))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("answer"))
+    return g.join(a, "item_id").select("item_id", S.typed_verdict(F.col("kind"), F.col("gold"), F.col("answer")).alias("ok"))
+
+
 @book.query(f"""{ARMS}, ok AS (SELECT arm, query_id, max((g.doc_id IS NOT NULL)::INT) AS ok FROM picks LEFT JOIN gold g USING (query_id, doc_id) GROUP BY ALL),
 j AS (SELECT o.arm, o.ok, t.ok AS oracle, w.ok AS base FROM ok o JOIN ok t ON t.query_id = o.query_id AND t.arm = 'oracle' JOIN ok w ON w.query_id = o.query_id AND w.arm = 'window')
 SELECT arm, count(*) AS questions, sum(ok)::BIGINT AS right_answers, count(*) FILTER (WHERE oracle = 0) AS use_failures, count(*) FILTER (WHERE oracle = 1 AND ok = 0) AS search_failures, count(*) FILTER (WHERE ok = 1 AND base = 0) AS beats_window FROM j GROUP BY 1""")

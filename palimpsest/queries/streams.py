@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..streaming import dedup as stream_dedup
 from ..streaming import facts as stream_facts
 from ..streaming import shared
 from .base import Book, table
 from .facts import ACTED, statements
+from .scoring import ORACLES as SCORED
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
 GAP = "30 minutes"
 
 
-def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     # as a pattern, as the source takes a plain path for a folder, and the table may be one file
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
 def drained(out: DataFrame, name: str) -> DataFrame:
@@ -35,6 +37,13 @@ def stream_fact_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream_facts.actions(statements(stream(spark, sf_dir)), DEFAULT), "facts")
 
 
+@book.query(SCORED["event_dedup"])
+def stream_event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 as a stream; it must agree with the batch."""
+    t = stream(spark, sf_dir, "conversations").where("role <> 'system'").select(F.col("conv_id").alias("chat"), F.col("turn").alias("seq"), F.col("text").alias("summary"))
+    return drained(stream_dedup.dedup(t, DEFAULT), "events")
+
+
 @book.query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e),
 g AS (SELECT user_id, n, min(ts) AS started, count(*) AS events, max(ts) + INTERVAL 30 MINUTE AS ended FROM s GROUP BY ALL)

@@ -77,3 +77,13 @@ def undone(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
     """JSON lines in order over files and rows."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)
+
+
+def write_report(df: DataFrame, path: str, title: str) -> None:
+    """The rows of a small result as a Markdown table under a title, in one text file. Null is an empty cell."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[|\n]", " ")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))
+    head = [f"# {title}", "", f"| {' | '.join(df.columns)} |", f"|{' --- |' * len(df.columns)}"]
+    lines = df.sparkSession.createDataFrame([(i, line) for i, line in enumerate(head)], "n long, value string")
+    body = df.select(F.lit(len(head)).cast("long").alias("n"), row.alias("value"))
+    lines.unionByName(body).coalesce(1).sortWithinPartitions("n", "value").select("value").write.text(path)

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, or below a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palimpsest-")
+    """A fresh path below ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="palimpsest-")
     return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"

@@ -40,7 +40,7 @@ def actions(statements: DataFrame, config: Config = DEFAULT) -> DataFrame:
             now = OneValue(config.tolerance[mutability(predicate, config)], config.reinforce, *(old or (None, 0.0)))
         else:
             now = ManyValues(config.confidence_floor, old)
-        rows = pd.concat(list(groups)).sort_values(ORDER, kind="stable")
+        rows = pd.concat(list(groups)).sort_values(ORDER, kind="stable")  # one micro-batch of one key; the source's trigger bounds it
         rows["action"] = [now.step(o, c) for o, c in zip(rows["object"], rows["confidence"])]
         state.update((json.dumps([now.live, now.confidence] if one else sorted(now.live)),))
         yield rows[["id", "subject", "predicate", "object", "action"]]

@@ -77,6 +77,35 @@ def test_clusters_and_penalty():
     assert episodes.penalised(same, 0.3)[1] == [4, 1, 2]
 
 
+def plain_clusters(sets, at_least):
+    """How many sets every cluster gets: each set joins the cluster that holds its closest earlier set, if that is close enough."""
+    clusters = []
+    for s in sets:
+        found = [(max(len(s & t) / (len(s | t) or 1) for t in members), -n) for n, members in enumerate(clusters)]
+        share, which = max(found, default=(0.0, 0))
+        if share > 0 and share >= at_least:
+            clusters[-which].append(s)
+        else:
+            clusters.append([s])
+    return [len(c) for c in clusters]
+
+
+def plain_picks(queries, penalty):
+    """(repeats, picks, distinct items) of one chat: the three best of every query, where an item loses ``penalty`` for every earlier pick."""
+    shown, log = {}, []
+    for scores in queries:
+        left, now = {i: round(v - penalty * shown.get(i, 0), 6) for i, v in scores.items()}, []
+        while left and len(now) < 3:
+            top = max(left.values())
+            now.append(min(i for i, v in left.items() if v == top))
+            del left[now[-1]]
+        for i in now:
+            shown[i] = shown.get(i, 0) + 1
+        log.append(now)
+    repeats = sum(any(i in before for before in log[max(0, n - 3) : n]) for n, now in enumerate(log) for i in now)
+    return repeats, sum(map(len, log)), len(shown)
+
+
 def test_queries_without_sql_match_a_plain_version(spark, data):
     from palimpsest.queries import QUERIES, context
     from palimpsest.queries.context import turns
@@ -85,16 +114,98 @@ def test_queries_without_sql_match_a_plain_version(spark, data):
     chats = {}
     for r in rows:
         chats.setdefault(r.chat, []).append(frozenset(r.t))
-    want = {(t, c): len(set(episodes.clustered(s, t))) for c, s in chats.items() for t in (0.2, 0.3, 0.45)}
-    got = {(r.threshold, r.chat): r.clusters for r in QUERIES["observation_clusters"](spark, data).collect()}
-    assert got == want
+    want = {(t, c): plain_clusters(s, t) for c, s in chats.items() for t in (0.2, 0.3, 0.45)}
+    got = {(r.threshold, r.chat): (r.clusters, r.largest) for r in QUERIES["observation_clusters"](spark, data).collect()}
+    assert got == {k: (len(v), max(v)) for k, v in want.items()} and len({len(v) for v in want.values()}) > 2
     scored = memory.judged(context.asked(spark, data), context.items(spark, data).withColumn("surfaced", F.lit(0)), context.C).collect()
     per = {}
     for r in scored:
         per.setdefault(r.chat, {}).setdefault(r.now, {})[r.item] = r.score
     for r in QUERIES["repeat_penalty"](spark, data).collect():
-        picks = [episodes.penalised([q[n] for n in sorted(q)], r.penalty) for q in per.values()]
-        assert r.picks == sum(len(p) for chat in picks for p in chat)
+        sums = [plain_picks([q[n] for n in sorted(q)], r.penalty) for q in per.values()]
+        assert (r.repeats, r.picks, r.distinct_items) == tuple(map(sum, zip(*sums)))
+
+
+def test_stems_reach_their_fixpoint(spark):
+    word = "w" + "ed" * 12
+    d = spark.createDataFrame([(word,), ("xx" + "tioning" * 6,)], "w string")
+    assert [r[0] for r in d.select(text.stem(F.col("w"))).collect()] == ["w", "xx"]
+
+
+# Answers and what the typed scorer must say of them.
+TYPED = [
+    ("single_hop", "나비", "나비잖아. 벌써 잊었냐.", True), ("single_hop", "나비", "글쎄, 기억이 잘 안 나는데.", False), ("single_hop", "안 된다 / 카페인 민감하다", "너 카페인 민감하잖아. 마시지 마라.", True),
+    ("single_hop", "안 된다 / 카페인 민감하다", "마셔도 되지 뭐.", False), ("single_hop", "여동생 한 명", "여동생 하나 있다고 했지.", True), ("single_hop", "스타트업 프로덕트 매니저", "스타트업에서 PM 하잖아.", None),
+    ("abstention", None, "그런 적 없는데?", None), ("abstention", None, "아 그거 재밌었지.", None), ("coverage", None, "초반은 기억이 잘 안 나.", None),
+]
+
+
+def test_typed_scorer(spark):
+    d = spark.createDataFrame([(i, *row[:3]) for i, row in enumerate(TYPED)], "i int, kind string, gold string, answer string")
+    said = scoring.typed_verdict(F.col("kind"), F.col("gold"), F.col("answer"), KOREAN, scoring.NUMBERS_KOREAN, scoring.TAIL_KOREAN, scoring.SMALL_KOREAN)
+    assert [r[0] for r in d.orderBy("i").select(said).collect()] == [row[3] for row in TYPED]
+
+
+def test_guard_reads_the_state(spark):
+    rows = [
+        ("자기야, 밥은 먹었어?", "헤어짐", "반말", False, ["stage=헤어짐"], ["stage=헤어짐"]), ("자기야, 밥은 먹었어?", "연인", "반말", False, [], []), ("네, 알겠습니다.", "연인", "반말", False, ["speech=반말"], ["speech=반말"]),
+        ("네, 알겠습니다.", "연인", "존댓말", False, [], []), ("엄마가 부르시네.", "연인", "반말", True, ["scene=roster"], ["scene=roster"]), ("엄마가 부르시네.", "연인", "반말", False, [], []),
+        ("예전엔 자기야라고 불렀지.", "낯섦", "반말", False, ["stage=낯섦"], []),
+    ]
+    d = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, t string, stage string, speech string, locked boolean")
+    state = {c: F.col(c) for c in ("stage", "speech", "locked")}
+    for at, excuse in ((4, None), (5, scoring.GUARD_KOREAN["excuse"])):
+        got = d.orderBy("i").select(scoring.violations(F.col("t"), state, scoring.STATE_RULES_KOREAN, scoring.GUARD_KOREAN["roster"], excuse)).collect()
+        assert [r[0] for r in got] == [r[at] for r in rows]
+
+
+def test_passages_are_found_in_texts(spark):
+    docs = [(1, "one two three four five six seven"), (2, "xone two three four fivex"), (3, None), (4, ""), (5, "two  three four"), (6, "a-b c"), (7, "one two\nthree four five six")]
+    asked = [(1, "two three four five six"), (2, "one two three four five"), (3, "b c"), (4, ""), (5, None), (6, "-"), (7, "e two three"), (8, "two\nthree four five"), (9, " three four")]
+    got = retrieval.holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, passage string"))
+    assert sorted(map(tuple, got.collect())) == sorted((q, d) for q, p in asked if p for d, t in docs if t and p in t)
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "ROWS", 7)
+    monkeypatch.setattr(retrieval, "QUERIES", 2)
+    v = np.random.default_rng(3).normal(0, 1, (40, 5)).round(2)
+    v[5:9] = v[4]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(50, None), (51, [1.0])], "vec_id long, v array<double>")
+    got = retrieval.dense(d, d.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 3).toPandas()
+    for q in (0, 10, 20, 30):
+        best = sorted((-round(float(v[q] @ v[i]), 6), i) for i in range(40) if i != q)[:3]
+        mine = got[got.query_id == q].assign(score=lambda x: x.score.round(6)).sort_values(["score", "vec_id"], ascending=[False, True]).head(3)
+        assert [(-s, i) for s, i in zip(mine.score, mine.vec_id)] == best
+
+
+def test_sizes_up_to_a_point(spark, monkeypatch):
+    from palimpsest.queries import analysis
+
+    monkeypatch.setattr(analysis, "BLOCK", 10)
+    seen = [(i, i % 7) for i in range(95) if i % 3]
+    got = analysis.sizes_upto(spark.createDataFrame(seen, "doc_id long, dl long"), spark.createDataFrame([(u,) for u in (4, 10, 33, 94, 200)], "upto long")).collect()
+    assert {tuple(r) for r in got} == {(u, sum(i <= u for i, _ in seen), sum(n for i, n in seen if i <= u)) for u in (4, 10, 33, 94, 200)}
+
+
+def test_contexts_say_when_facts_are_lost(spark, data):
+    from palimpsest.queries import context
+
+    names = {r.name: r.n for r in context.blocks(spark, "/root/testdata/sf0.01").groupBy("name").agg(F.count("*").alias("n")).collect()}
+    assert {"system", "persona", "speech_rules", "known_facts", "relationship", "digest:lifetime", "digest:recent", "recent", "debt", "retrieved", "utterance"} <= set(names)
+    lost = context.blocks(spark, data, facts_failed=True).where("name = 'known_facts'").select("text").distinct().collect()
+    assert [r.text for r in lost] == [context.FAILED]
+
+
+def test_percentiles_by_ranges(spark):
+    from palimpsest.queries.context import place_percentiles
+
+    values = [3, 3, 5000, 7, 2048, 2047, 9, 1_000_000, 2048, 1]
+    got = place_percentiles(spark.createDataFrame([(v,) for v in values], "tokens long"), "tokens", (0, 50, 95)).first()
+    v = sorted(values)
+    assert (got.p0, got.p50, got.p95) == (v[0], v[5], v[9])
 
 
 @pytest.mark.parametrize("variant,want", [("shipped", ["past", "short", "short", "contact", "none"]), ("content", ["short", "ritual", "short", "contact", "none"]), ("always", ["always"] * 5)])

@@ -45,3 +45,9 @@ def test_migration_adds_columns_once(spark):
     old = spark.createDataFrame([(1, "c")], "event_id long, chat string")
     new = migrated(migrated(old, "event", 1), "event", 1)
     assert new.columns == ["event_id", "chat", "mention_count", "dedup_key"] and new.first().mention_count == 1
+
+
+def test_report_is_a_table(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1.5), ("b|c", None)], "arm string, recall double")
+    files.write_report(d, str(tmp_path / "report"), "Arms")
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["# Arms", "", "| arm | recall |", "| --- | --- |", "| a | 1.5 |", "| b c |  |"]
