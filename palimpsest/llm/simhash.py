@@ -28,6 +28,8 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 NEAR = 3
 #: Fingerprints of one key that are compared in one group.
 MOST = 4096
+#: Parts of a node's neighbours that components deal with apart.
+SALTS = 8
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -159,16 +161,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; the root is the smallest node that can be reached.
 
     Large-star and small-star steps in turn: each hangs neighbours on the smallest one they see, until nothing moves. Only
-    minima are gathered by key, with partial sums, so a node with very many neighbours is no burden for one task.
+    minima are gathered by key, with partial sums, and handed out to SALTS parts of a node's neighbours, so a node with very many
+    neighbours is no burden for one task.
     """
+    salt = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").select("a", "b", salt("b")).join(least.select("a", "m", salts), ["a", "salt"]).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))  # small-star: every b has neighbours a < b
-        small = large.join(least, "b").select(F.col("m"), F.col("a"), F.col("b"))
+        small = large.select("a", "b", salt("a")).join(least.select("b", "m", salts), ["b", "salt"]).select(F.col("m"), F.col("a"), F.col("b"))
         edges = cut(small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
@@ -214,5 +219,6 @@ def survivors(docs: DataFrame) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of all ``documents``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
