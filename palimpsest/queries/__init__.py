@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, context, costs, evaluation, facts, retrieval, scoring, streams, texts
+from . import analysis, context, costs, evaluation, facts, retrieval, scoring, storage, streams, texts
 
-MODULES = (texts, facts, retrieval, context, analysis, costs, scoring, streams, evaluation)
+MODULES = (texts, facts, retrieval, context, analysis, costs, scoring, streams, evaluation, storage)
 
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -64,6 +64,30 @@ def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Folders that a table of chats is dealt over.
+BUCKETS = 8
+
+
+def append(df: DataFrame, path: str, key: str = "chat") -> None:
+    """A batch of rows added to a table of chats, in one write; nothing that is there is touched. Chats are dealt over folders."""
+    df.withColumn("bucket", F.pmod(F.col(key), F.lit(BUCKETS)).cast("int")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def scan(spark: SparkSession, path: str, schema: T.StructType, chat: int, key: str = "chat") -> DataFrame:
+    """The rows of one chat; only its folder is read, and the rest of the predicate reaches the Parquet files."""
+    whole = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
+    return whole.where((F.col("bucket") == chat % BUCKETS) & (F.col(key) == chat)).drop("bucket")
+
+
+def counted(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """State of an append-only log of updates ``(keys, op, amount, order)``: the sum of all ``add`` rows since the last ``reset``, and whether the last ``drop`` or ``keep`` leaves the row valid."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = log.withColumn("resets", F.count_if(F.col("op") == "reset").over(ahead))
+    when = F.when(F.col("op").isin("drop", "keep"), F.struct(*order))
+    return rows.groupBy(*keys).agg(F.sum(F.when((F.col("op") == "add") & (F.col("resets") == 0), F.col("amount")).otherwise(0)).alias("count"), (F.coalesce(F.max_by("op", when), F.lit("keep")) == "keep").alias("valid"))
+
+
 def last_state(deltas: DataFrame, fields: list[str], key: str = "chat", order: str = "seq") -> DataFrame:
     """The last value of every field that a chat's deltas named; ``deltas(chat, seq, delta MAP)``. Fields that are not listed are ignored."""
     return deltas.groupBy(key).agg(*(F.max_by(F.col("delta")[f], F.when(F.col("delta")[f].isNotNull(), F.col(order))).alias(f) for f in fields))
