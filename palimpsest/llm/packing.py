@@ -192,6 +192,7 @@ def fill_first(pieces: list, size: int, into: list) -> list:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents`` in sequences of 2048: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, remember=REMEMBER_MORE)

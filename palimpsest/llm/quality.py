@@ -1,6 +1,6 @@
 """Operator 4, quality rules: base counts of a text, and lines that too many documents of a host share.
 
-DataFrame functions only. Line hashes of all documents are counted per host; a line that more than ``max_docs`` documents
+DataFrame functions only. Line hashes of all documents are written once and counted per host; a line that more than ``max_docs`` documents
 of its host hold is removed from all of them but the one with the smallest id, and a document that loses more than ``max_lost``
 of its characters is depleted. Only hashes and lengths of lines are shuffled.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 #: Production limits of the query.
 MAX_DOCS, MAX_LOST = 20, 0.5
@@ -66,6 +66,7 @@ def depleted_documents(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: floa
     lines = docs.where(F.col("text").isNotNull()).select("row_key", "doc_id", "host", line.alias("line")).select(
         "row_key", "doc_id", "host", F.lower(F.btrim("line", F.lit(" \t\x0b\x0c\r"))).alias("line")
     ).where("line <> ''").select("row_key", "doc_id", "host", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
+    lines = stash(lines, "lines")  # texts are split once
     common = lines.groupBy("host", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") > max_docs)
     common = common.select(F.col("host").alias("common_host"), F.col("h").alias("common_h"), "first")
     # lines of no shared host or hash stay out of the sum of what is lost, but count in the whole
@@ -96,6 +97,7 @@ def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of all ``documents``."""
     return quality(table(spark, sf_dir, "documents"))
 
 
