@@ -155,7 +155,10 @@ def _manifest(listed: T.StructType) -> T.StructType:
 
 def _listing(batches):
     """Adds to the parts, which come in order in one task, the ids before each and the root over all; there is one row a file."""
-    parts = pa.Table.from_batches(list(batches))
+    held = list(batches)
+    if not held:
+        return
+    parts = pa.Table.from_batches(held)
     tokens, roots = parts.column("tokens").to_numpy(), parts.column("root").to_pylist()
     for name, values in (("first", np.cumsum(tokens) - tokens), ("parts", [len(roots)] * len(roots)), ("whole", [merkle(roots)] * len(roots))):
         parts = parts.append_column(name, pa.array(values, pa.binary() if name == "whole" else pa.int64()))
