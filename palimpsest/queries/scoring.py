@@ -80,7 +80,12 @@ def guard_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("truth", F.explode(each).alias("g")).groupBy(F.col("g.version").alias("version")).agg(*S.confusion(F.col("g.hit"), F.col("truth")))
 
 
-STATE = {"stage": F.element_at(F.array(*map(F.lit, ("apart", "strange", "close"))), (F.col("doc_id") % 3 + 1).cast("int")), "speech": F.when(F.col("doc_id") % 2 == 0, "casual").otherwise("polite"), "locked": F.col("doc_id") % 5 == 0}
+def state() -> dict:
+    """A made-up state for every document: how close two characters are, how they speak, and whether the scene is closed."""
+    stage = F.element_at(F.array(*map(F.lit, ("apart", "strange", "close"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return {"stage": stage, "speech": F.when(F.col("doc_id") % 2 == 0, "casual").otherwise("polite"), "locked": F.col("doc_id") % 5 == 0}
+
+
 SQL_STATE = {"stage": "['apart', 'strange', 'close'][doc_id % 3 + 1]", "speech": "CASE WHEN doc_id % 2 = 0 THEN 'casual' ELSE 'polite' END"}
 BROKEN = " UNION ALL ".join(
     f"SELECT '{name}' AS rule, version FROM (SELECT text, regexp_extract(text, '{forbid}') AS m, length(string_split_regex(text, '{forbid}')[1]) + 1 AS spot FROM documents WHERE {SQL_STATE[field]} = '{value}'), v WHERE m <> '' AND (version = 'v1' OR NOT regexp_matches({NEAR}, '{SQL_EXCUSE}'))"
@@ -91,7 +96,7 @@ BROKEN = " UNION ALL ".join(
 @book.query(f"WITH v AS (SELECT unnest(['v1', 'v2']) AS version) SELECT version, rule, count(*) AS hits FROM ({BROKEN}) GROUP BY ALL")
 def guard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What texts break of the rules of their state and of a closed scene, without and with excuses."""
-    each = F.array(*(F.struct(F.lit(v).alias("version"), S.violations(F.col("text"), STATE, S.STATE_RULES_LATIN, S.ROSTER_LATIN, e).alias("rules")) for v, e in (("v1", None), ("v2", G["excuse"]))))
+    each = F.array(*(F.struct(F.lit(v).alias("version"), S.violations(F.col("text"), state(), S.STATE_RULES_LATIN, S.ROSTER_LATIN, e).alias("rules")) for v, e in (("v1", None), ("v2", G["excuse"]))))
     found = table(spark, sf_dir, "documents").select(F.explode(each).alias("g")).select("g.version", F.explode("g.rules").alias("rule"))
     return found.groupBy("version", "rule").agg(F.count("*").alias("hits"))
 

@@ -41,3 +41,13 @@ def test_matches_sql(spark, duck, data, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_imports_without_a_session():
+    """The entry can be imported before Spark is started."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(entry.__file__).parent, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
