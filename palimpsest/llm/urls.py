@@ -29,8 +29,6 @@ malware-drop.example.com/setup.exe phish-login.example.org/verify-account blog.s
 hotxxx.example.com/fr/8 bets24.example.org/en/100 m.bestbets.example.com/es/3 freebet.example.org/en/55 www.casino777.example.com/de/1
 ad-tracker.example.com/en/2 tracking-ads.example.org/pixel popup-ads.example.com/en/90 adserver.example.org/click m.adclick.example.com/fr/6
 lottery-winner.example.com/en/31 winbig.example.org/jackpot jackpot-slots.example.com/en/5 slotsonline.example.org/spin
-cheapmeds.example.com/en/64 discount-pharmacy-pills.example.org/rx replica-bags.example.com/es/17 fake-watches.example.org/en/4
-fast-cash.example.com/loan loanshark.example.org/en/77 get-rich-quick.example.com/en/6 earn-money-fast.example.org/join
 keygen-warez.example.com/en/9 cracked-software.example.org/serial free-torrents.example.com/en/41 nude-girls.example.com/pics
 escort-dating.example.org/en/13 hookup-sex.example.com/de/8 spamblog.example.com/en/2 adultfriend.example.org/fr/30 pharma-spam.example.com/es/9
 backlink-seo.example.org/en/71 phishing-bank.example.com/login.php malware-host.example.org/en/19 virus-scan-alert.example.com/alert
@@ -40,7 +38,6 @@ slot-machine.example.org/en/2 bet365win.example.com/en/4 sportsbet.example.org/e
 viagra.example.com/en/5 buy-cialis-viagra.example.org/en/9 payday.example.com/en/71 cashadvance.example.org/en/22 loans.example.com/en/16
 crackz-warez.example.org/en/3 warez.example.com/en/14 keygen.example.org/en/8 serial-crack.example.com/en/25 torrents.example.org/en/33
 adtrack.example.com/en/47 ads-network.example.org/en/2 trackclick.example.com/en/62 phish.example.com/en/38 phishkit.example.org/de/4
-crypto-giveaway.example.com/en/9 double-bitcoin-crypto.example.org/en/6 spammer.example.com/en/11 spam-list.example.org/fr/12
 seolinks.example.com/en/19 linkfarm.example.org/en/44 nudes.example.com/en/21 nude-cam.example.org/es/3 instant-loan.example.com/en/54
 """.split()
 ALLOW = """
@@ -53,11 +50,8 @@ www.then.example.org/en/680 nation.example.com/en/9 www.station.example.org/de/1
 northern-rail.example.com/en/61 www.harrington.example.org/en/84 blog.thames.example.com/en/7 m.thornton.example.org/fr/19 ether.example.com/en/2
 www.mother-and-baby.example.org/en/58 southport.example.com/en/40 brother.example.org/de/33 www.leather.example.com/en/15 heritage.example.org/es/91
 www.weaver.example.com/en/120 hand-made.example.org/en/14 m.rothbard.example.com/en/205 tennis-club.example.org/en/6 www.adventure.example.com/fr/44
-addison.example.org/en/8 blog.winter-walks.example.com/en/27 window.example.org/en/4 www.better-homes.example.com/en/36 alphabet.example.org/es/50
-tibet-tours.example.com/en/13 www.freedom.example.org/en/1 freeman.example.com/de/72 pilot.example.org/en/20 www.spa-town.example.com/en/9
 sparrow.example.org/en/65 blog.adams.example.com/en/88 m.academy.example.org/fr/3 www.casa-nova.example.com/es/10 sextant.example.org/en/5
 essex-county.example.com/en/28 www.poke-bowl.example.org/en/31 farm-shop.example.com/en/2 www.farming.example.org/de/61 link.example.com/en/74
-m.linguist.example.org/en/17 slough.example.com/en/95 www.cashmere.example.org/en/12 loan-library.example.com/fr/7 crackers.example.org/en/30
 www.download-fonts.example.com/en/81 tracks.example.org/en/6 www.track-and-field.example.com/en/23 adsorption.example.org/en/111 pillar.example.com/es/64
 blog.quickstep.example.org/en/9 thistle.example.com/en/52 m.tenth.example.org/de/5 www.anthem.example.com/en/310 retention.example.org/en/48
 www.notions.example.com/fr/26 m.tionesta.example.org/en/73 shared-table.example.com/en/4 www.thrush.example.org/en/16 able.example.com/en/90
