@@ -93,6 +93,24 @@ def cold_start(text: Column, rules: dict[str, str]) -> dict[str, Column]:
     return {"claims": text.rlike(rules["past"]) & ~text.rlike(rules["admit"]), "admits": text.rlike(rules["admit"]), "asks": text.rlike(rules["ask"])}
 
 
+# Polite endings of sentences, talk of a family, and signs of a question; for Korean and for the bundled tables.
+HONORIFIC_KOREAN = r"(요|습니다|습니까|세요|십시오|이에요|예요|네요|겠어요)[.!?…\s\"']*$"
+FAMILY_KOREAN = {"topic": r"(가족|동생|부모|엄마|아빠|형|누나|언니|오빠|집안|집에\s*(무슨|뭔)\s*일)", "ask": r"([?？]|어때|어떠|괜찮|무슨 일|있냐|하냐|했냐)"}
+HONORIFIC_LATIN = r"(tion|ly|ing)[.!?…\s]*$"
+FAMILY_LATIN = {"topic": r"\b(her|his|our|they|and)\b", "ask": r"([?]|what|which|que)"}
+
+
+def polite(text: Column, ending: str) -> Column:
+    """Whether any sentence of a text, of two characters or more, ends politely."""
+    sentences = F.transform(F.split(text, r"[.!?…\n]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.exists(F.filter(sentences, lambda s: F.length(s) >= 2), lambda s: s.rlike(ending))
+
+
+def probes(text: Column, rules: dict[str, str]) -> Column:
+    """Whether a text asks about a topic: it names it and has a sign of a question."""
+    return text.rlike(rules["topic"]) & text.rlike(rules["ask"])
+
+
 def stems(text: Column, pack: RulePack = LATIN) -> Column:
     return F.filter(F.transform(T.raw_words(text), lambda w: T.stem(T.bare(w), pack)), lambda w: w != "")
 

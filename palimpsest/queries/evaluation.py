@@ -13,7 +13,9 @@ from ..config import DEFAULT
 from ..functions import text as T
 from ..operators import memory
 from .base import Book, saved, table
-from .context import SHARED, asked, blocks, blocks_sql, evidence_facts, items, turns
+from .context import ORACLES as CONTEXT
+from .context import SHARED, asked, blocks, blocks_sql, evidence_facts, items, prefix_stability, turns
+from .facts import stored
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -109,6 +111,54 @@ def gate_cut_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir, CELLS)
 
 
+#: Blocks that hold memory; the recent turns and the utterance are the chat itself.
+MEMORY = ("known_facts", "retrieved", "digest:lifetime", "digest:recent", "relationship")
+COUNTED = {"standing": C.pack.standing, "all": None}
+
+
+def event_counts_sql(name: str, standing) -> str:
+    return f"""{blocks_sql(f'{name}_b', standing=standing)}, {name}_m AS (SELECT chat, now, string_agg(text, chr(10) ORDER BY volatility, name) FILTER (WHERE name IN {MEMORY}) AS mem, max(text) FILTER (WHERE name = 'known_facts') AS facts,
+    coalesce(max((length(text) - length(replace(text, '[memory] ', ''))) // 9) FILTER (WHERE name = 'retrieved'), 0) AS picked, max(text) FILTER (WHERE name = 'retrieved') AS found FROM {name}_b GROUP BY ALL),
+{name} AS (SELECT chat, now, facts, coalesce(contains(mem, trap), FALSE) AS trapped, coalesce(len(list_filter(old, lambda o: contains(mem, o))) > 0, FALSE) AS stale, picked - coalesce(contains(found, '[memory] ' || best), FALSE)::INT AS noise
+    FROM {name}_m LEFT JOIN tr USING (chat) LEFT JOIN od USING (chat) LEFT JOIN be USING (chat))"""
+
+
+@book.query(f"""{SHARED}, {EVIDENCE}, od AS (SELECT subject AS chat, list(DISTINCT predicate || ': ' || object) AS old FROM stored WHERE valid_until IS NOT NULL GROUP BY 1), be AS (SELECT chat, accepted[1] AS best FROM ev WHERE evidence LIKE 'event:%'),
+{', '.join(event_counts_sql(f'c{i}', v) for i, v in enumerate(COUNTED.values()))}
+{' UNION ALL '.join(f"SELECT '{n}' AS facts, count(*) AS turns, count(*) FILTER (WHERE trapped) AS traps, count(*) FILTER (WHERE stale) AS stale, sum(noise)::BIGINT AS noise, count(DISTINCT facts) AS variants FROM c{i}" for i, n in enumerate(COUNTED))}""")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose memory blocks bring up the trap or a superseded fact, retrieved items that are no evidence, and forms of the facts block."""
+    lines = lambda f: f.select(F.col("subject").alias("chat"), F.concat_ws(": ", "predicate", "object").alias("line"))
+    known = stored(spark, sf_dir)
+    old = lines(known.where("valid_until IS NOT NULL")).groupBy("chat").agg(F.collect_set("line").alias("old"))  # a chat's superseded facts
+    trap = evidence_facts(spark, sf_dir, (TRAP,)).groupBy("chat").agg(F.min("line").alias("trap"))
+    best = evidence(spark, sf_dir).where("evidence LIKE 'event:%'").select("chat", F.concat(F.lit("[memory] "), F.col("accepted")[0]).alias("best"))
+    every = None
+    for name, standing in COUNTED.items():
+        b = blocks(spark, sf_dir, standing=standing)
+        of = lambda n, b=b: F.max(F.when(F.col("name") == n, F.col("text")))
+        in_order = F.sort_array(F.collect_list(F.when(F.col("name").isin(*MEMORY), F.struct("volatility", "name", "text"))))
+        m = b.groupBy("chat", "now").agg(F.array_join(F.transform(in_order, lambda x: x["text"]), "\n").alias("mem"), of("known_facts").alias("known"), of("retrieved").alias("found"))
+        m = m.join(trap, "chat", "left").join(old, "chat", "left").join(best, "chat", "left")
+        holds = lambda c: F.coalesce(c, F.lit(False))
+        noise = F.coalesce(F.size(F.split("found", r"\[memory\] ")) - 1, F.lit(0)) - holds(F.col("found").contains(F.col("best"))).cast("int")
+        m = m.select(F.lit(name).alias("facts"), "known", holds(F.col("mem").contains(F.col("trap"))).alias("trapped"), holds(F.exists("old", lambda o: F.col("mem").contains(o))).alias("stale"), F.when(F.col("found").isNull(), 0).otherwise(noise).alias("noise"))
+        every = m if every is None else every.unionByName(m)
+    return every.groupBy("facts").agg(F.count("*").alias("turns"), F.count_if("trapped").alias("traps"), F.count_if("stale").alias("stale"), F.sum("noise").alias("noise"), F.count_distinct("known").alias("variants"))
+
+
+MONTH = C.turns_per_month / 1e6
+
+
+@book.query(f"WITH p AS ({CONTEXT['prefix_stability']}) SELECT count(*) AS turns, round((avg((tokens - stable_tokens) * {C.price_in} + stable_tokens * {C.price_cached}) + {C.output_tokens * C.price_out}) * {MONTH}, 4)::DOUBLE AS usd_month, round((avg(tokens * {C.price_in}) + {C.output_tokens * C.price_out}) * {MONTH}, 4)::DOUBLE AS usd_month_without_cache FROM p")
+def context_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a month of turns costs, with the stable prefix of every context read from the cache and without."""
+    p = prefix_stability(spark, sf_dir)
+    cost = lambda per: F.round((F.avg(per) + C.output_tokens * C.price_out) * MONTH, 4)
+    fresh = (F.col("tokens") - F.col("stable_tokens")) * C.price_in + F.col("stable_tokens") * C.price_cached
+    return p.agg(F.count("*").alias("turns"), cost(fresh).alias("usd_month"), cost(F.col("tokens") * C.price_in).alias("usd_month_without_cache"))
+
+
 # --- raw turns and places ---------------------------------------------------------------------------------------------------------
 
 PAIRS = "list_distinct(CASE WHEN length({0}) < 2 THEN [{0}] ELSE list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)) END)"

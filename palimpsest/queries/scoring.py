@@ -111,6 +111,14 @@ def answer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), *(F.count_if(c).alias(n) for n, c in rules.items()))
 
 
+@book.query(rf"""SELECT role, count(*) AS turns, count(*) FILTER (WHERE len(list_filter(list_transform(string_split_regex(text, '[.!?…\n]'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 2 AND regexp_matches(s, '{S.HONORIFIC_LATIN}'))) > 0) AS polite,
+count(*) FILTER (WHERE regexp_matches(text, '{S.FAMILY_LATIN["topic"]}') AND regexp_matches(text, '{S.FAMILY_LATIN["ask"]}')) AS probes FROM conversations GROUP BY 1""")
+def answer_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a polite ending, and turns that ask about a family."""
+    t = table(spark, sf_dir, "conversations")
+    return t.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(S.polite(F.col("text"), S.HONORIFIC_LATIN)).alias("polite"), F.count_if(S.probes(F.col("text"), S.FAMILY_LATIN)).alias("probes"))
+
+
 def stem_lists(source: str, text: str, keys: str, name: str) -> str:
     cte = stems_cte(f"{name}_u", "word", f"{keys}, i").replace("st", f"{name}_st")
     return (

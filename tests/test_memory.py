@@ -159,6 +159,13 @@ def test_guard_reads_the_state(spark):
         assert [r[0] for r in got] == [r[at] for r in rows]
 
 
+def test_polite_endings_and_questions_about_the_family(spark):
+    rows = [("밥 먹었어요.", True, False), ("밥 먹었어. 그랬습니다! 응", True, False), ("밥 먹었어", False, False), ("요", False, False), ("동생은 잘 지내?", False, True), ("동생 얘기 그만해", False, False), ("집에 무슨 일 있냐", False, True)]
+    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "i int, t string")
+    got = d.orderBy("i").select(scoring.polite(F.col("t"), scoring.HONORIFIC_KOREAN), scoring.probes(F.col("t"), scoring.FAMILY_KOREAN)).collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in rows]
+
+
 def test_passages_are_found_in_texts(spark):
     docs = [(1, "one two three four five six seven"), (2, "xone two three four fivex"), (3, None), (4, ""), (5, "two  three four"), (6, "a-b c"), (7, "one two\nthree four five six")]
     asked = [(1, "two three four five six"), (2, "one two three four five"), (3, "b c"), (4, ""), (5, None), (6, "-"), (7, "e two three"), (8, "two\nthree four five"), (9, " three four")]
