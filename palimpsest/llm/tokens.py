@@ -125,15 +125,63 @@ class BatchEncoder:
         return out, stops
 
 
-_ENCODERS: dict[str, BatchEncoder] = {}
+#: Words whose pieces can be counted here, and how vocabularies of lower-case words with word ends cut them. Fixed values.
+PLAIN = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u00ff]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
-def encoder(path: str, remember: int = REMEMBER) -> BatchEncoder:
+class WordEncoder(BatchEncoder):
+    """The same for vocabularies that drop white space and mark word ends: texts, given as UTF-8, are cut at all ASCII white space."""
+
+    def __init__(self, path: str, remember: int = REMEMBER):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.remember = remember
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.forget()
+
+    @staticmethod
+    def parts(word: bytes) -> int:
+        """Into how many parts the vocabulary's pattern cuts a word; 0 if that is not known here."""
+        if word.isalpha():  # of ASCII
+            return 1
+        text = word.decode("utf-8", "replace")
+        return len(PARTS.findall(text.lower())) if PLAIN.fullmatch(text) and "<|" not in text else 0
+
+    def learn(self, pieces: set) -> None:
+        """Plain words are encoded many at a time: the number of their parts tells where each one's ids end."""
+        words = list(pieces)
+        counts = list(map(self.parts, words))
+        plain, rest = [w for w, n in zip(words, counts) if n], [w for w, n in zip(words, counts) if not n]
+        ends = np.cumsum([n for n in counts if n])
+        for at in range(0, len(plain), JOIN * 256):
+            part = plain[at : at + JOIN * 256]
+            joined = self.tokenizer.encode_batch_fast([b" ".join(part[i : i + JOIN]).decode() for i in range(0, len(part), JOIN)], add_special_tokens=False)
+            ids = np.concatenate([np.array(got.ids, self.dtype) for got in joined])
+            stops, upto = np.flatnonzero(self.last[ids]) + 1, ends[at : at + len(part)] - (ends[at - 1] if at else 0)
+            if len(stops) != upto[-1]:
+                raise ValueError("this vocabulary does not mark the ends of words; its words cannot be encoded together")
+            self.add(part, ids, stops[upto - 1])
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
+            self.add([word], np.array(got.ids, self.dtype), np.array([len(got.ids)]))
+
+    def pieces(self, text: bytes) -> list:
+        return text.split()
+
+
+_ENCODERS: dict[tuple, BatchEncoder] = {}
+
+
+def encoder(path: str, remember: int = REMEMBER, kind: type = BatchEncoder) -> BatchEncoder:
     """The worker's own encoder of a tokenizer file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BatchEncoder(path)
-    _ENCODERS[path].remember = remember
-    return _ENCODERS[path]
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = kind(path)
+    _ENCODERS[path, kind].remember = remember
+    return _ENCODERS[path, kind]
 
 
 def slices(batch, most_bytes: int = 1 << 20):
