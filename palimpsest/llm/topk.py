@@ -1,13 +1,12 @@
 """Operator 6, exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of the parts that ``LISTS`` groups of dimensions give it. Phase one: in every block of rows the first list
-names a query's best rows by its part alone; these few are scored in full, and the k-th best score of a query over all blocks is a
-safe cutoff, as at least k rows reach it. Phase two: the rest of a score is at most the product of the two vectors' lengths in the
-other lists, so a row whose part and rest together cannot reach the cutoff is passed over after a quarter of the work. Phase three: the
-other lists are resolved for the rows that are left, and a block sends on the best k of those that reach the cutoff. No
-pair is scored in full more often than by brute force, and queries with close neighbours score few. Queries and rows meet in
-blocks of bounded size; cutoffs travel with their query block, so nothing that grows with the data is broadcast or brought to
-the driver.
+A score is the sum of the entries that ``LISTS`` groups of dimensions have for a pair. Phase one: in every block of rows each list names
+a query's best rows by its own entries; these few are resolved exactly, and the k-th best score of a query over all blocks is a safe
+cutoff, as at least k rows reach it. Phase two: the cutoff is shared uniformly among the lists. Where a score reaches the cutoff, one of its
+entries at least reaches its share, so a list sends on the entries at or above the share, unless even the greatest rest that the vectors' lengths
+allow is too little. Phase three: what the other lists have for these pairs is added, and a block sends on the best k of those that
+reach the cutoff. Queries and rows meet in blocks of bounded size; cutoffs travel with their query block, so nothing that grows with the
+data is broadcast or brought to the driver.
 """
 
 from __future__ import annotations
@@ -25,9 +24,7 @@ LISTS, ROWS, QUERIES = 4, 65_536, 8_192
 #: Blocks of rows that are made of smaller tables, too, for as many tasks, and the rows that a block has at least.
 SPREAD, FEW = 16, 4_096
 #: Scores held at once by a task, as 4- or 8-byte numbers.
-HELD = 1 << 22
-#: A query with more of a block's rows left than this share takes the block's other lists whole.
-DENSE = 0.2
+HELD = 1 << 21
 #: The cutoff of a query with fewer than k rows.
 NONE = -(1 << 62)
 
@@ -59,35 +56,40 @@ def _some(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
+def lists(dim: int) -> list[slice]:
+    """The groups of dimensions; vectors without any have one empty group."""
+    edges = np.linspace(0, dim, min(LISTS, max(1, dim)) + 1).astype(int)
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+
+
 def local_lists(q: np.ndarray, x: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phase one: (query, row, score) of the ``many`` rows that are best by the first list."""
-    first = -(-q.shape[1] // LISTS)
-    part = q[:, :first] @ x[:, :first].T
-    many = min(many, len(x))
-    j = np.argpartition(part, len(x) - many, axis=1)[:, len(x) - many :].ravel()
-    i = np.repeat(np.arange(len(q)), many)
+    """Phase one: (query, row, score) of the rows that are among the ``many`` best of a list, each once."""
+    many, named = min(many, len(x)), []
+    for at in lists(q.shape[1]):
+        best = np.argpartition(q[:, at] @ x[:, at].T, len(x) - many, axis=1)[:, len(x) - many :]
+        named.append((np.arange(len(q))[:, None] * len(x) + best).ravel())
+    i, j = np.divmod(np.unique(np.concatenate(named)), len(x))
     return i, j, _some(q, x, i, j)
 
 
 def sufficient(q: np.ndarray, x: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Phases two and three: (query, row, score) of all pairs that reach the query's cutoff, and how many were scored in full."""
-    first = -(-q.shape[1] // LISTS)
-    part = q[:, :first] @ x[:, :first].T
-    length = lambda a: np.sqrt((a[:, first:].astype(np.float64) ** 2).sum(1))
-    kind = np.float32 if q.dtype == np.float32 else np.float64
-    eps = 1e-5 if kind == np.float32 else 1e-9  # more than rounding can cost
-    least = np.maximum(cutoff - np.abs(cutoff) * eps - 4, -(2.0**62)).astype(kind)
-    left = part >= least[:, None] - (length(q) * (1 + eps)).astype(kind)[:, None] * length(x).astype(kind)
-    dense = left.mean(1) > DENSE
-    d = np.flatnonzero(dense)
-    whole = part[d] + q[d, first:] @ x[:, first:].T
-    i, j = np.nonzero(whole >= cutoff[d, None])
-    i1, j1, s1 = d[i], j, whole[i, j].astype(np.int64)
-    left[d] = False
-    i, j = np.nonzero(left)
-    s = part[i, j].astype(np.int64) + _some(q[:, first:], x[:, first:], i, j)
-    keep = s >= cutoff[i]
-    return np.concatenate([i1, i[keep]]), np.concatenate([j1, j[keep]]), np.concatenate([s1, s[keep]]), len(d) * len(x) + len(i)
+    """Phases two and three: (query, row, score) of all pairs that reach the query's cutoff, and how many were sent on by a list."""
+    groups, kind = lists(q.shape[1]), np.float32 if q.dtype == np.float32 else np.float64
+    share = np.ceil(cutoff / len(groups)) - (0 if kind == np.float32 else 1 + np.abs(cutoff) * 1e-15)  # what rounding of large numbers can cost
+    eps = 1e-5 if kind == np.float32 else 1e-9
+    low = np.maximum(cutoff - np.abs(cutoff) * eps - 4, -(2.0**62)).astype(kind)
+    squares = lambda a: a.astype(np.float64) ** 2
+    q2, x2 = squares(q), squares(x)
+    sent, total = np.zeros((len(q), len(x)), bool), np.zeros((len(q), len(x)), q.dtype)
+    for at in groups:
+        entries = q[:, at] @ x[:, at].T
+        rest = lambda a, at=at: np.sqrt(np.maximum(a.sum(1) - a[:, at].sum(1), 0)) * (1 + eps)
+        sent |= (entries >= share[:, None].astype(kind)) & (entries >= low[:, None] - rest(q2).astype(kind)[:, None] * rest(x2).astype(kind))
+        total += entries
+    i, j = np.nonzero(sent)
+    score = total[i, j].astype(np.int64)
+    keep = score >= (cutoff if kind == np.float32 else low)[i]  # a large cutoff may have been rounded up
+    return i[keep], j[keep], score[keep], len(i)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -118,7 +120,7 @@ def _pairs(k: int, with_cutoff: bool):
         cutoff = queries.column("cutoff").to_numpy() if with_cutoff else None
         step = max(1, HELD // len(x_ids))
         for at in range(0, len(q_ids), step):
-            # phase one takes one more, as the query itself may be among them
+            # a list of phase one takes one more, as the query itself may be among them
             i, j, total = sufficient(q[at : at + step], x, cutoff[at : at + step])[:3] if with_cutoff else local_lists(q[at : at + step], x, k + 1)
             keep = np.flatnonzero(q_ids[at + i] != x_ids[j])
             keep = keep[_best(i[keep], x_ids[j[keep]], total[keep], k)]
@@ -144,7 +146,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     A row never answers itself (its own vec_id); ties go to the smaller vec_id; fewer rows give fewer answers. Vectors that are
     null or have null or non-finite components, and null ids, take no part; vectors of another length than the query's do not
     answer it, and empty vectors score 0 with each other. A vec_id that is repeated with equal vectors counts once; with unlike vectors
-    each may answer, and each query row asks. Other columns are ignored; empty tables give no rows.
+    each is an answer of its own, and the answers of query rows of one id are ranked together. Other columns are ignored; empty tables give no rows.
     """
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")])
     (x, n), (q, m) = _narrow(stash(quantised(vectors).distinct(), "vectors")), _narrow(stash(quantised(queries).distinct(), "queries"))
@@ -160,7 +162,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     least = kth.where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("cutoff").cast("double").alias("cutoff"))
     asked = stash(asked.join(least, "vec_id", "left").fillna({"cutoff": float(NONE)}), "cutoffs")
     full = to_all(asked).groupBy("r", "c").cogroup(dealt.groupBy("r", "c")).applyInArrow(_pairs(k, True), schema)
-    ranked = full.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = full.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -513,6 +513,20 @@ def test_topk_few_rows_and_none(spark):
     assert topk.top_k(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_ids_with_unlike_vectors(spark, monkeypatch):
+    """Answers are lists: equal triples of one id stand for different rows and none is lost."""
+    r = np.random.default_rng(6)
+    for rows_of, blocks in (((1, 25),), 65_536), (((1, 25), (20, 3), (33, 4)), 16):
+        monkeypatch.setattr(topk, "ROWS", blocks)
+        rows = [(0, [8, 0, 0, 0])] + [(i, [4, k, -k, k % 3]) for i, n in rows_of for k in range(n)] + [(100 + i, r.integers(-9, 5, 4).tolist()) for i in range(28)]
+        d = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        want = []
+        for q in sorted({i for i, _ in rows if i % 20 == 0}):
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in rows if p == q for i, b in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:20])]
+        assert sorted(map(tuple, topk.top_k(d, d.where("vec_id % 20 = 0")).collect())) == sorted(want)
+
+
 def test_topk_empty_and_unlike_lengths_and_clashing_names(spark):
     rows = [(0, []), (1, []), (2, [1.0]), (20, [2.0]), (40, [1.0, 1.0]), (41, [2.0, -1.0]), (60, [0.5] * 7), (61, []), (80, None)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("v", "r", "c", "n", "rank", "score", "cutoff", "query_id")})

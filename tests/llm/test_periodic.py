@@ -113,7 +113,7 @@ def rows_with_runs():
         if i % 3 == 0:
             w = w[:20] + w[: rnd.randint(1, 12)] * rnd.randint(2, 9) + w[20:]
         out.append((i, rnd.choice([" ", "\n", "\t \x0b", "  "]).join(w), "en", "s", 0))
-    return out + [(1000, "a b a b " * 20, "en", "s", 0), (1001, "  \x85 \x1c " * 20, "en", "s", 0)]
+    return [(*r, *["clash"] * 14) for r in out] + [(*r, *["clash"] * 14) for r in [(1000, "a b a b " * 20, "en", "s", 0), (1001, "  \x85 \x1c " * 20, "en", "s", 0)]]
 
 
 def test_query(spark, tmp_path):
