@@ -10,9 +10,11 @@ from . import text as T
 
 #: Characters on either side of a match that may excuse it.
 REACH = 25
+#: Either edge of a word. Letters with accents are letters, which ``\b`` does not hold for in every engine.
+BORDER = r"(^|[^\p{L}\p{N}_]|$)"
 
 # Patterns of the guard, its excuses, and the classifiers of answers, for the bundled tables and for Korean.
-GUARD_LATIN = {"forbid": r"\b(idiot|clown|scum|pathetic|worthless)\b", "excuse": r"(['\"].{0,20}['\"]|no longer|used to|the word|not )"}
+GUARD_LATIN = {"forbid": rf"{BORDER}(idiot|clown|scum|pathetic|worthless){BORDER}", "excuse": r"(['\"].{0,20}['\"]|no longer|used to|the word|not )"}
 GUARD_KOREAN = {
     "affection": "(자기야|여보|내 사랑|사랑해|보고싶어 죽겠)", "polite": "(습니다|해요|세요|입니다|드릴게요)", "roster": "(엄마|아빠|친구|민지|선배|점원|의사)",
     "excuse": "(['\"‘’“”].{0,20}['\"‘’“”]|예전엔|옛날엔|그땐|~?라고 불렀|안 할게|안 해|이제 아니|더는|않을게|라는 (단어|말)|이런 (말투|말)|같은 말)",
@@ -31,8 +33,8 @@ BY_HAND = ("abstention", "coverage")
 
 # What a state forbids, as (name, field, value, pattern), and who may not enter a closed scene.
 STATE_RULES_KOREAN = (("stage=헤어짐", "stage", "헤어짐", GUARD_KOREAN["affection"]), ("stage=낯섦", "stage", "낯섦", GUARD_KOREAN["affection"]), ("speech=반말", "speech", "반말", GUARD_KOREAN["polite"]))
-STATE_RULES_LATIN = (("stage=apart", "stage", "apart", r"\b(idiot|clown)\b"), ("stage=strange", "stage", "strange", r"\b(idiot|clown)\b"), ("speech=casual", "speech", "casual", r"\b(scum|pathetic|worthless)\b"))
-ROSTER_LATIN = r"\b(licensed|casino|copyright)\b"
+STATE_RULES_LATIN = (("stage=apart", "stage", "apart", rf"{BORDER}(idiot|clown){BORDER}"), ("stage=strange", "stage", "strange", rf"{BORDER}(idiot|clown){BORDER}"), ("speech=casual", "speech", "casual", rf"{BORDER}(scum|pathetic|worthless){BORDER}"))
+ROSTER_LATIN = rf"{BORDER}(licensed|casino|copyright){BORDER}"
 ROSTER_RULE = "scene=roster"
 
 
@@ -97,7 +99,7 @@ def cold_start(text: Column, rules: dict[str, str]) -> dict[str, Column]:
 HONORIFIC_KOREAN = r"(요|습니다|습니까|세요|십시오|이에요|예요|네요|겠어요)[.!?…\s\"']*$"
 FAMILY_KOREAN = {"topic": r"(가족|동생|부모|엄마|아빠|형|누나|언니|오빠|집안|집에\s*(무슨|뭔)\s*일)", "ask": r"([?？]|어때|어떠|괜찮|무슨 일|있냐|하냐|했냐)"}
 HONORIFIC_LATIN = r"(tion|ly|ing)[.!?…\s]*$"
-FAMILY_LATIN = {"topic": r"\b(her|his|our|they|and)\b", "ask": r"([?]|what|which|que)"}
+FAMILY_LATIN = {"topic": rf"{BORDER}(her|his|our|they|and){BORDER}", "ask": r"([?]|what|which|que)"}
 
 
 def polite(text: Column, ending: str) -> Column:

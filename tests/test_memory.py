@@ -173,6 +173,27 @@ def test_passages_are_found_in_texts(spark):
     assert sorted(map(tuple, got.collect())) == sorted((q, d) for q, p in asked if p for d, t in docs if t and p in t)
 
 
+def test_passages_in_long_texts_are_found_in_one_pass(spark, monkeypatch):
+    """A text of 20 000 words and passages of one word and more, dealt over several passes; in time that grows with the text only."""
+    import random
+    import time
+
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(3000)}" for _ in range(20_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[::-1])), (3, "w1"), (4, " ".join(words)), (None, "w1 w2")]
+    asked = [(i, " ".join(words[i : i + 1 + i % 40])) for i in range(0, 3000, 7)] + [(9000, "w1"), (9001, "w1"), (9002, " ".join(words)), (9003, "no such words"), (9004, "w" * 60)]
+    monkeypatch.setattr(retrieval, "PASS", 40_000)
+    start = time.perf_counter()
+    got = retrieval.holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, passage string")).collect()
+    assert time.perf_counter() - start < 30
+    assert sorted(map(str, map(tuple, got))) == sorted(str((q, d)) for q, p in asked for d, t in docs if p in t)
+
+
+def test_word_borders_know_accents(spark):
+    d = spark.createDataFrame([("éour ?",), ("our?",), ("(our) ?",), ("ours ?",), ("x_our ?",), ("our",), ("?\nour",)], "t string")
+    assert [r[0] for r in d.select(scoring.probes(F.col("t"), scoring.FAMILY_LATIN)).collect()] == [False, True, True, False, False, False, True]
+
+
 def test_vectors_meet_in_blocks(spark, monkeypatch):
     import numpy as np
 

@@ -1,4 +1,4 @@
-"""Every query that has SQL, against DuckDB on the smallest tables."""
+"""Every query that has SQL, against DuckDB on the small tables."""
 
 import math
 import os
@@ -12,6 +12,11 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def data():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     con = duckdb.connect()
