@@ -92,7 +92,7 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat, now ORDE
 @book.query(f"WITH {JUDGED} SELECT chat, now, rank, item, relevance, score FROM hits")
 def retrieve_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """what every utterance would bring back."""
-    return memory.best(memory.judged(asked(spark, sf_dir), items(spark, sf_dir), C), C.top_k).select("chat", "now", "rank", "item", "relevance", "score")
+    return memory.retrieved(asked(spark, sf_dir), items(spark, sf_dir), C.top_k, C).select("chat", "now", "rank", "item", "relevance", "score")
 
 
 @book.query(f"WITH {JUDGED} SELECT chat, now, item, decision FROM judged WHERE decision <> 'kept'")
@@ -195,7 +195,7 @@ def blocks(spark: SparkSession, sf_dir: str, u: DataFrame | None = None, gate_va
     fresh = fact_ops.without_stale(digest, gone)
     reason = gated(spark, sf_dir).where(F.col("variant") == gate_variant).where(gate.opens(F.col("reason"))).select("chat", "now")
     config = replace(C, relevance_cut=cut)
-    hits = memory.best(memory.judged(u.join(reason, ["chat", "now"], "left_semi"), items(spark, sf_dir), config), C.top_k)
+    hits = memory.retrieved(u.join(reason, ["chat", "now"], "left_semi"), items(spark, sf_dir), C.top_k, config)
     r = memory.lines(memory.recent(t, C), F.col("seq"), F.concat_ws(": ", "role", "text"))
     owed = memory.lines(due(spark, sf_dir), F.col("setup"), F.concat(F.lit("- owed since turn "), F.col("setup").cast("string")))
     return memory.assembled([

@@ -295,3 +295,39 @@ def test_bm25_counts_repeated_terms(spark):
     idf = math.log(1 + (3 - 1 + 0.5) / 1.5)
     part = lambda tf, dl: idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (5 / 3)))
     assert got == pytest.approx({1: 2 * part(2, 3), 2: part(1, 2)})
+
+
+def items_of(spark, rows):
+    return spark.createDataFrame(rows, "chat long, item long, seq long, summary string, importance double, emotion double, surfaced int")
+
+
+def test_retrieval_by_index_equals_the_full_comparison(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    words = ["river", "garden", "melody", "thunder", "lantern", "x", "Ä", "kettle", "of", "running", "runs"]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6)))
+    rows = [(c, s, s, rnd.choice([text(), text(), None]), rnd.choice([None, 0.1, 0.5, 0.9]), rnd.choice([None, 0.0, 0.8]), rnd.choice([None, 0, 1, 3])) for c in (1, 2, 3, None) for s in range(0, 60, 2)]
+    asked = spark.createDataFrame([(c, s, text()) for c in (1, 2, 4, None) for s in range(1, 70, 3)] + [(1, 9, None), (2, 0, "river")], "chat long, now long, query string")
+    want = sorted(map(str, memory.best(memory.judged(asked, items_of(spark, rows)), 5).collect()))
+    for turns, items, pairs in ((4096, 20_000, 1 << 21), (16, 7, 50), (1, 1, 1)):
+        monkeypatch.setattr(memory, "TURNS", turns)
+        monkeypatch.setattr(memory, "ITEMS", items)
+        monkeypatch.setattr(memory, "PAIRS", pairs)
+        assert sorted(map(str, memory.retrieved(asked, items_of(spark, rows), 5).collect())) == want
+    assert memory.retrieved(asked, items_of(spark, []), 5).count() == 0 and memory.retrieved(asked.limit(0), items_of(spark, rows), 5).count() == 0
+
+
+def test_one_chat_of_fifty_thousand_turns(spark):
+    """No pair of a turn and an item is a row of the plan: the chat is dealt over blocks, and the answers are those of a direct count."""
+    n = 50_000
+    words = ["river", "garden", "melody", "thunder", "lantern", "kettle", "orchard", "window"]
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("chat"), F.col("id").alias("seq"), F.concat_ws(" ", *(F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(8)) + 1).cast("int")) for i in range(2))).alias("text"))
+    items = turns.where("seq % 2 = 0").select("chat", F.col("seq").alias("item"), "seq", F.col("text").alias("summary"), (F.col("seq") * 37 % 100 / 100.0).alias("importance"), F.lit(0.0).alias("emotion"), F.lit(0).alias("surfaced"))
+    asked = turns.where("seq % 2 = 1").select("chat", F.col("seq").alias("now"), F.col("text").alias("query"))
+    got = memory.retrieved(asked, items, 3)
+    some = asked.where("now % 9973 = 1 OR now = 49999")
+    want = memory.best(memory.judged(some, items), 3)
+    found = got.join(some.select("chat", "now"), ["chat", "now"], "left_semi")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
