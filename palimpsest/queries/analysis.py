@@ -131,12 +131,10 @@ def depth_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(arm, depth, weight, recall): each probe sees only the documents up to its own time; frequencies and lengths are those of what it sees."""
     index, asked, docs = corpus(spark, sf_dir)
     snaps = snapshots(spark, sf_dir)
-    lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    seen = docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    sizes = sizes_upto(seen, snaps.select("upto").distinct())
+    sizes = sizes_upto(docs, snaps.select("upto").distinct())
     hits = snaps.join(asked, "query_id").join(index, "term").where("doc_id <= upto")
     df = hits.groupBy("query_id", "depth", "term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, ["query_id", "depth", "term"]).join(lengths, "doc_id").join(sizes, "upto")
+    rows = hits.join(df, ["query_id", "depth", "term"]).join(sizes, "upto")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k1, b = C.bm25_k1, C.bm25_b
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("terms") / F.col("n"))))

@@ -17,10 +17,11 @@ C = DEFAULT
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, which are written once, query terms and documents."""
+    """Postings of the terms that are asked for, which are written once, query terms, and the documents' lengths."""
     docs = table(spark, sf_dir, "documents")
     asked = ops.postings(table(spark, sf_dir, "benchmark"), T.words(F.col("text")), "item_id").select(F.col("item_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    return saved(ops.postings(docs, T.words(F.col("text"))), "postings"), asked, docs
+    index = saved(ops.indexed(docs, T.words(F.col("text")), asked), "postings")
+    return index.where("term <> ''"), asked, index.where("term = ''").select("doc_id", "dl")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
