@@ -16,3 +16,8 @@ def shared(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
     return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Keeps the state of streams that start from now on in RocksDB, which holds maps and timers by key and more state than memory; its changes go to the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -14,13 +14,26 @@ from ..functions import text as T
 from ..operators.episodes import overlap
 
 
+#: Milliseconds that the state of a bucket outlives its last item.
+REST = 60_000
+#: Stands for null in keys of state.
+NONE = -(2**63)
+
+
 def dedup(items: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(chat, seq, action, into) of a stream ``items(chat, seq, summary)``: an item that overlaps an earlier kept one of its bucket is merged into it.
 
     Within a micro-batch the items of a bucket are taken in order of turn and text; over batches they must arrive in order. The state of a bucket is
-    the roots of its kept items, so it is bounded by the bucket's turns."""
+    the roots of its kept items, so it is bounded by the bucket's turns. A stream with a time column ``at`` and a watermark on it lets go of a bucket's state
+    once the watermark has passed its last item by REST; rows without a turn only move the watermark; what comes later than the watermark is dropped, and counted in the stream's progress."""
+    timed = "at" in items.columns
 
     def fold(key, groups, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if key[1] == NONE:  # rows without a turn are in no bucket
+            return
         kept = [(seq, frozenset(roots)) for seq, roots in (json.loads(state.get[0]) if state.exists else [])]
         rows = pd.concat(list(groups)).sort_values(["seq", "summary"], kind="stable")  # the turns of one bucket
         into = []
@@ -32,6 +45,10 @@ def dedup(items: DataFrame, config: Config = DEFAULT) -> DataFrame:
         seqs = rows["seq"].tolist()
         yield pd.DataFrame({"chat": rows["chat"].tolist(), "seq": seqs, "action": ["created" if i == s else "merged" for i, s in zip(into, seqs)], "into": into})
         state.update((json.dumps([(seq, sorted(roots)) for seq, roots in kept]),))
+        if timed:
+            last = int(rows["at"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last + REST, state.getCurrentWatermarkMs() + 1))
 
-    rows = items.select("chat", "seq", "summary", T.roots(F.col("summary"), config.pack).alias("roots"), F.floor(F.col("seq") / config.dedup_window).alias("bucket"))
-    return rows.groupBy("chat", "bucket").applyInPandasWithState(fold, "chat long, seq long, action string, into long", "state string", "append", GroupStateTimeout.NoTimeout)
+    rows = items.select(F.coalesce("chat", F.lit(NONE)).alias("chat"), "seq", "summary", *(["at"] if timed else []), T.roots(F.col("summary"), config.pack).alias("roots"), F.coalesce(F.floor(F.col("seq") / config.dedup_window), F.lit(NONE)).alias("bucket"))
+    out = rows.groupBy("chat", "bucket").applyInPandasWithState(fold, "chat long, seq long, action string, into long", "state string", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+    return out.withColumn("chat", F.nullif("chat", F.lit(NONE)))

@@ -1,49 +1,67 @@
-"""The fact upsert as a stream: state per (subject, predicate), statement by statement."""
+"""The fact upsert as a stream: state per (subject, predicate); the live objects of a key are the keys of a map state, one entry each."""
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, Config
 from ..operators.facts import KEY, ORDER, OneValue, mutability
 
 
-class ManyValues:
-    """The fold of a key with many values: the set of live objects."""
+class Upsert(StatefulProcessor):
+    """A statement touches the entry of its own object and one value of its key, however many objects the key has."""
 
-    def __init__(self, floor: float, live: list[str] | None = None):
-        self.floor, self.live = floor, set(live or [])
+    def __init__(self, config: Config):
+        self.config = config
 
-    def step(self, obj: str, confidence: float) -> str:
-        if obj in self.live:
-            return "reinforced"
-        if self.live and confidence < self.floor:
-            return "held"
-        first = not self.live
-        self.live.add(obj)
-        return "created" if first else "coexist"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "object string, confidence double")  # of a key with one value; of others, that there is any
+        self.live = handle.getMapState("live", "object string", "since long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        predicate = key[1]
+        batch = pd.concat(list(rows)).sort_values(ORDER, kind="stable")  # one micro-batch of one key; the source's trigger bounds it
+        step = self.one(predicate) if predicate in self.config.pack.cardinality_one else self.many()
+        batch["action"] = [step(i, o, c) for i, o, c in zip(batch["id"].tolist(), batch["object"], batch["confidence"])]
+        if predicate in self.config.pack.cardinality_one:
+            self.held.update((self.now.live, self.now.confidence))
+        yield batch[["id", "subject", "predicate", "object", "action"]]
+
+    def one(self, predicate: str):
+        old = self.held.get() if self.held.exists() else (None, 0.0)
+        self.now = OneValue(self.config.tolerance[mutability(predicate, self.config)], self.config.reinforce, *old)
+        return lambda _, obj, confidence: self.now.step(obj, confidence)
+
+    def many(self):
+        known, some = {}, self.held.exists()  # objects of this batch are looked up once
+
+        def step(number: int, obj: str, confidence: float) -> str:
+            nonlocal some
+            if obj not in known:
+                known[obj] = self.live.containsKey((obj,))
+            if known[obj]:
+                return "reinforced"
+            if some and confidence < self.config.confidence_floor:
+                return "held"
+            self.live.updateValue((obj,), (number,))
+            known[obj] = True
+            first, some = not some, True
+            if first:
+                self.held.update((None, None))
+            return "created" if first else "coexist"
+
+        return step
+
+    def close(self) -> None:
+        pass
 
 
 def actions(statements: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(id, subject, predicate, object, action) of a stream of statements. Within a micro-batch a key's statements are taken in order of
-    time and id; over batches they must arrive in order. The state of a key is one short text."""
-
-    def fold(key, groups, state: GroupState):
-        subject, predicate = key
-        one = predicate in config.pack.cardinality_one
-        old = json.loads(state.get[0]) if state.exists else None
-        if one:
-            now = OneValue(config.tolerance[mutability(predicate, config)], config.reinforce, *(old or (None, 0.0)))
-        else:
-            now = ManyValues(config.confidence_floor, old)
-        rows = pd.concat(list(groups)).sort_values(ORDER, kind="stable")  # one micro-batch of one key; the source's trigger bounds it
-        rows["action"] = [now.step(o, c) for o, c in zip(rows["object"], rows["confidence"])]
-        state.update((json.dumps([now.live, now.confidence] if one else sorted(now.live)),))
-        yield rows[["id", "subject", "predicate", "object", "action"]]
-
+    time and id; over batches they must arrive in order. State lies in RocksDB (``streaming.keyed_state``)."""
     out = "id long, subject long, predicate string, object string, action string"
-    return statements.groupBy(*KEY).applyInPandasWithState(fold, out, "state string", "append", GroupStateTimeout.NoTimeout)
+    return statements.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=Upsert(config), outputStructType=out, outputMode="append", timeMode="none")

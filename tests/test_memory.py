@@ -331,3 +331,65 @@ def test_one_chat_of_fifty_thousand_turns(spark):
     found = got.join(some.select("chat", "now"), ["chat", "now"], "left_semi")
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
     assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_map_state_costs_the_same_for_keys_with_many_objects(spark, tmp_path):
+    """The stream of statements equals the batch over several micro-batches, for a key with thousands of live objects, too."""
+    from palimpsest.streaming import facts as stream_facts
+    from palimpsest.streaming import keyed_state
+
+    keyed_state(spark)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(n, 1, "likes", f"o{n * 7919 % 6000}", 0.9 if n % 3 else 0.1, start + dt.timedelta(seconds=n)) for n in range(9000)] + [(20_000 + n, 2, "likes", f"o{n % 5}", 0.2 + n % 7 / 10, start + dt.timedelta(seconds=n)) for n in range(60)]
+    schema = "id long, subject long, predicate string, object string, confidence double, ts timestamp"
+    for part in range(3):
+        some = [r for r in rows if r[0] % 20_000 * 3 // (9000 if r[1] == 1 else 60) == part]
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream_facts.actions(stream, DEFAULT).writeStream.format("memory").queryName("acted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = facts.actions(spark.createDataFrame(rows, schema), DEFAULT).select("id", "subject", "predicate", "object", "action")
+    got = spark.table("acted")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert [p["batchId"] for p in query.recentProgress if p["numInputRows"]] == [0, 1, 2]
+
+
+def test_bucket_state_ends_with_the_stream(spark, tmp_path):
+    """Timers drop every bucket's state once the watermark has passed; a late row is dropped and counted."""
+    from palimpsest.streaming import dedup as stream_dedup
+
+    schema, at = "chat long, seq long, summary string, at timestamp", lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=n)
+    batches = [[(1, s, f"the river garden {s % 3}", at(s)) for s in range(40)], [(None, None, None, at(10_000))], [(1, 5, "late river garden", at(5))], [(None, None, None, at(20_000))]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("at", "10 seconds")
+    query = stream_dedup.dedup(stream, DEFAULT).writeStream.format("memory").queryName("deduped").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [(p["stateOperators"][0]["numRowsTotal"], p["stateOperators"][0]["numRowsDroppedByWatermark"]) for p in query.recentProgress if p["stateOperators"]]
+    assert max(n for n, _ in states) == 2 and states[-1][0] == 0 and sum(late for _, late in states) == 1
+    assert spark.table("deduped").count() == 40
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from palimpsest.streaming import resume
+
+    rows = [(i, f"t{i}") for i in range(50)]
+    source = spark.createDataFrame(rows, "id long, text string")
+    source.repartition(5).write.parquet(str(tmp_path / "in"))
+    stream, path = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "out")
+    counts = lambda: {r.status: r["count"] for r in resume.status(spark, path, source, ["id"]).groupBy("status").count().collect()}
+    assert counts() == {"pending": 50}
+
+    def stop(number):
+        if number == 2:
+            raise RuntimeError("pulled the plug")
+
+    with pytest.raises(Exception, match="pulled the plug"):
+        resume.run(stream, path, stop)
+    seen = resume.written(spark, path, source.schema)
+    assert seen.select("batch").distinct().count() == 3 and resume.committed(spark, path).count() == 2  # the third batch is written but not done
+    assert counts()["done"] == seen.where("batch < 2").count()
+    resume.run(stream, path)
+    assert counts() == {"done": 50} and sorted(map(tuple, resume.written(spark, path, source.schema).select("id", "text").collect())) == rows
+    resume.run(stream, path)  # nothing is left to do
+    assert resume.written(spark, path, source.schema).count() == 50
