@@ -12,7 +12,7 @@ from ..config import DEFAULT, Config
 from ..functions import text as T
 
 
-def _terms(asked: DataFrame, items: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+def terms_of(asked: DataFrame, items: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """Queries and items with their terms, pairs of characters over stems, and the items' weights."""
     q = asked.select("chat", "now", F.array_distinct(T.stemmed_bigrams(F.col("query"), config.pack)).alias("q"))
     weight = F.greatest(F.coalesce("importance", F.lit(0.0)), F.coalesce("emotion", F.lit(0.0)))
@@ -30,7 +30,7 @@ def judged(asked: DataFrame, items: DataFrame, config: Config = DEFAULT) -> Data
 
     ``asked``: chat, now, query; ``items``: chat, item, seq, summary, importance, emotion, surfaced. The decision is ``kept``,
     ``unimportant`` or ``irrelevant``; nothing is dropped, so the result is quadratic in a chat; ``retrieved`` gives the best items without it."""
-    q, d = _terms(asked, items, config)
+    q, d = terms_of(asked, items, config)
     return _scored(q.join(d, "chat").where("seq < now").withColumn("relevance", F.round(T.containment(F.col("q"), F.col("d")), 6)), config)
 
 
@@ -46,7 +46,7 @@ def retrieved(asked: DataFrame, items: DataFrame, k: int, config: Config = DEFAU
     Items under the gate of importance are out before anything meets. Blocks of a chat's turns meet the blocks before them; in a task the postings of
     a query's terms are counted by item, and only what can be among the k best leaves it. So no pair of a query and an item is a row of a plan, and
     a chat of any length is dealt over tasks of bounded size."""
-    q, d = _terms(asked, items.where(F.greatest(F.coalesce("importance", F.lit(0.0)), F.coalesce("emotion", F.lit(0.0))) >= config.importance_gate), config)
+    q, d = terms_of(asked, items.where(F.greatest(F.coalesce("importance", F.lit(0.0)), F.coalesce("emotion", F.lit(0.0))) >= config.importance_gate), config)
     buckets = max(1, -(-items.count() // ITEMS))
     block = lambda c: F.floor(F.col(c) / TURNS)
     bucket = F.pmod(F.xxhash64("chat"), F.lit(buckets)).alias("bucket")

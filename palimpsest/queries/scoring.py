@@ -36,20 +36,37 @@ def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.dedup(t, C)
 
 
-@book.query()
+#: How alike observations of a cluster are, and what an earlier pick costs.
+ALIKE, PENALTIES = (0.2, 0.3, 0.45), (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)
+
+
+@book.query(f"""WITH RECURSIVE {context.T_CTE}, {context.sql_terms('t', 'text', 'chat, seq', 'ot')},
+o AS (SELECT chat, terms, row_number() OVER (PARTITION BY chat ORDER BY seq) AS rn FROM ot), th AS (SELECT unnest([{', '.join(map(str, ALIKE))}]::DOUBLE[]) AS threshold),
+nb AS (SELECT a.chat, a.rn, b.rn AS j, len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) AS share FROM o a JOIN o b ON a.chat = b.chat AND b.rn < a.rn),
+bs AS (SELECT * FROM nb WHERE share > 0 QUALIFY share = max(share) OVER (PARTITION BY chat, rn)),
+js AS (SELECT threshold, o.chat, o.rn, coalesce(list(j) FILTER (WHERE share >= threshold), []::BIGINT[]) AS js FROM o CROSS JOIN th LEFT JOIN bs ON bs.chat = o.chat AND bs.rn = o.rn GROUP BY ALL),
+f AS (SELECT threshold, chat, rn, [rn] AS fs FROM js WHERE rn = 1
+    UNION ALL SELECT j.threshold, j.chat, j.rn, list_append(f.fs, coalesce(list_min(list_transform(j.js, lambda x: f.fs[x])), j.rn)) FROM f JOIN js j ON j.threshold = f.threshold AND j.chat = f.chat AND j.rn = f.rn + 1),
+e AS (SELECT threshold, chat, unnest(fs) AS founder FROM (SELECT * FROM f QUALIFY rn = max(rn) OVER (PARTITION BY threshold, chat)))
+SELECT threshold, chat, count(*) AS clusters, max(n) AS largest FROM (SELECT threshold, chat, founder, count(*) AS n FROM e GROUP BY ALL) GROUP BY ALL""")
 def observation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy clusters of a chat's turns at three thresholds; order-dependent over growing clusters, so tests hold it against a plain version."""
+    """Greedy clusters of a chat's turns at three thresholds; a turn goes where its closest earlier turn went."""
     t = turns(spark, sf_dir).select("chat", "seq", "text")
-    return episodes.observations(t, (0.2, 0.3, 0.45), C)
-
-
-@book.query()
+    return episodes.observations(t, ALIKE, C)
+
+
+@book.query(f"""WITH RECURSIVE {context.JUDGED.replace('surfaced, summary FROM qt', '0 AS surfaced, summary FROM qt')},
+sc AS (SELECT chat, row_number() OVER (PARTITION BY chat ORDER BY now) AS k, c FROM (SELECT chat, now, list(struct_pack(i := item, m := floor(({C.relevance_weight}::DOUBLE * relevance + {C.importance_weight}::DOUBLE * weight) * 1000000 + 0.5)::BIGINT)) AS c FROM jd GROUP BY ALL)),
+pn AS (SELECT unnest([{', '.join(map(str, PENALTIES))}]::DOUBLE[]) AS penalty),
+f AS (SELECT penalty, chat, 0::BIGINT AS k, []::BIGINT[][] AS log FROM pn, (SELECT DISTINCT chat FROM sc)
+    UNION ALL SELECT f.penalty, f.chat, sc.k, list_append(f.log, list_transform(list_sort(list_transform(sc.c, lambda x: struct_pack(s := round(f.penalty * 1000000)::BIGINT * len(list_filter(flatten(f.log), lambda y: y = x.i)) - x.m, i := x.i)))[1:3], lambda z: z.i))
+    FROM f JOIN sc ON sc.chat = f.chat AND sc.k = f.k + 1),
+e AS (SELECT penalty, log FROM f QUALIFY k = max(k) OVER (PARTITION BY penalty, chat))
+SELECT penalty, sum(list_sum(list_transform(range(1, len(log) + 1), lambda n: len(list_filter(log[n], lambda i: list_contains(flatten(log[greatest(1, n - 3):n - 1]), i))))))::BIGINT AS repeats,
+    sum(len(flatten(log)))::BIGINT AS picks, sum(len(list_distinct(flatten(log))))::BIGINT AS distinct_items FROM e GROUP BY 1""")
 def repeat_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How a penalty on surfaced items thins repeats; the fold over picks has no SQL, tests hold it against a plain version."""
-    from ..operators import memory
-
-    scored = memory.judged(context.asked(spark, sf_dir), items(spark, sf_dir).withColumn("surfaced", F.lit(0)), C)
-    per = episodes.repetition(scored.select("chat", "now", "item", "score"), (0.0, 0.05, 0.1, 0.2, 0.3, 0.5))
+    """How a penalty on surfaced items thins repeats."""
+    per = episodes.repetition(context.asked(spark, sf_dir), items(spark, sf_dir).withColumn("surfaced", F.lit(0)), PENALTIES, C)
     return per.groupBy("penalty").agg(F.sum("repeats").alias("repeats"), F.sum("picks").alias("picks"), F.sum("distinct_items").alias("distinct_items"))
 
 

@@ -1,7 +1,9 @@
 """Golden cases of the memory engine: tables of statements, events, guards, coverage, caches."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,66 @@ def test_queries_without_sql_match_a_plain_version(spark, data):
         assert (r.repeats, r.picks, r.distinct_items) == tuple(map(sum, zip(*sums)))
 
 
+def test_clusters_over_blocks(spark, monkeypatch):
+    """Blocks of a chat, ties, repeated rows, equal turns, null texts and a null chat, against the plain version."""
+    monkeypatch.setattr(episodes, "TURNS", 16)
+    monkeypatch.setattr(episodes, "SETS", 60)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12)]
+    rows = [(c, n // (2 if c == "b" else 1), " ".join(rng.choices(words, k=rng.randint(1, 4)))) for c in ("a", "b", None) for n in range(70)]
+    rows += [("a", 100, None), ("a", 101, ""), ("a", 102, None), ("one", 0, "x"), *rows[:20]]
+    items = spark.createDataFrame(rows, "chat string, seq long, text string")
+    terms = items.select("chat", "seq", F.array_sort(F.array_distinct(text.stemmed_bigrams(F.col("text"), K.pack))).alias("t")).collect()
+    firsts = {}
+    for r in terms:
+        key = (r.chat, tuple(r.t))
+        seq, n = firsts.get(key, (r.seq, 0))
+        firsts[key] = (min(seq, r.seq), n + 1)
+    got = {(r.threshold, r.chat): (r.clusters, r.largest) for r in episodes.observations(items, (0.3, 0.5, 0.7), K).collect()}
+    for chat in ("a", "b", None, "one"):
+        order = sorted((seq, t, n) for (c, t), (seq, n) in firsts.items() if c == chat)
+        for at in (0.3, 0.5, 0.7):
+            sets = [frozenset(t) for _, t, n in order]
+            labels = episodes.clustered(sets, at)
+            assert [labels.count(x) for x in sorted(set(labels))] == plain_clusters(sets, at)
+            sizes = {}
+            for x, (_, _, n) in zip(labels, order):
+                sizes[x] = sizes.get(x, 0) + n
+            assert got[at, chat] == (len(sizes), max(sizes.values()))
+    assert episodes.observations(items.limit(0), (0.3,), K).count() == 0
+
+
+def test_closest_is_exact():
+    rng = random.Random(9)
+    for at_least in (0.1, 0.34, 0.5, 0.8, 1.0):
+        sets = [frozenset(rng.sample(range(14), rng.randint(1, 6))) for _ in range(90)]
+        flat = np.array([(i, t) for i, s in enumerate(sets) for t in s])
+        side = (np.arange(90), flat[:, 0], flat[:, 1])
+        want = set()
+        for i, s in enumerate(sets):
+            shares = [len(s & t) / len(s | t) for t in sets[:i]]
+            want |= {(i, j, x) for j, x in enumerate(shares) if x == max(shares) and x > 0 and x >= at_least}
+        assert set(zip(*(a.tolist() for a in episodes.closest(side, side, at_least)))) == want
+
+
+def test_repetition_of_odd_rows(spark):
+    """Nothing before a query, equal turns, null texts, a null chat; the stream against scores of all pairs."""
+    rng = random.Random(3)
+    words = ["river", "stone", "cloud", "bread", "lamp", "horse", "glass"]
+    say = lambda: " ".join(rng.choices(words, k=rng.randint(1, 5)))
+    asked = spark.createDataFrame([(c, n, say() if n % 9 else None) for c in ("a", "b") for n in range(0, 60, 2)] + [("c", 1, "river"), (None, 3, "river")], "chat string, now long, query string")
+    rows = [(c, 100 + n, n, say() if n % 7 else None, rng.random(), rng.random(), None if n % 5 else 1) for c in ("a", "b") for n in range(1, 60, 3)] + [("c", 9, 1, "river", 0.5, None, 0), (None, 7, 1, "river", None, 0.5, 0)]
+    items = spark.createDataFrame(rows, "chat string, item long, seq long, summary string, importance double, emotion double, surfaced int")
+    got = {(r.penalty, r.chat): (r.repeats, r.picks, r.distinct_items) for r in episodes.repetition(asked, items, (0.0, 0.2), K).collect()}
+    per = {}
+    for r in memory.judged(asked, items, K).collect():
+        per.setdefault(r.chat, {}).setdefault(r.now, {})[r.item] = r.score
+    for p in (0.0, 0.2):
+        for chat, q in per.items():
+            assert got[p, chat] == plain_picks([q[n] for n in sorted(q)], p)
+        assert got[p, "c"] == (0, 0, 0) and got[p, None] == (0, 1, 1)
+
+
 def test_stems_reach_their_fixpoint(spark):
     word = "w" + "ed" * 12
     d = spark.createDataFrame([(word,), ("xx" + "tioning" * 6,)], "w string")
