@@ -78,6 +78,23 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) * 1.5)).cast("long")
 
 
+def session_number(name: Column) -> Column:
+    """7 of ``S07``; null of anything else."""
+    return F.nullif(F.regexp_extract(F.trim(name), r"^S([0-9]{1,18})$", 1), F.lit("")).cast("long")
+
+
+def days(spec: Column) -> Column:
+    """3 of ``3d``; null of anything else."""
+    return F.nullif(F.regexp_extract(F.trim(spec), r"^([0-9]{1,18})d$", 1), F.lit("")).cast("long")
+
+
+def first_due(setup: Column, spec: Column) -> Column:
+    """The first session, later than the one of number ``setup``, at which a trigger fires: after so many days, a session being a day, in a named session
+    or the first after it, or at the next start of a session. Null where the trigger names no time."""
+    after = F.coalesce(setup + days(spec), session_number(spec), F.when(F.trim(spec) == "session_start", setup + 1))
+    return F.when(after.isNotNull(), F.greatest(after, setup + 1))
+
+
 def containment(query: Column, doc: Column) -> Column:
     """The share of a set of terms that another set has."""
     return F.size(F.array_intersect(query, doc)) / F.greatest(F.size(F.array_distinct(query)), F.lit(1))

@@ -116,5 +116,14 @@ def stale_from(changed: DataFrame, derivations: DataFrame) -> DataFrame:
     return hit.groupBy("derived_kind", "derived_key").agg(F.count_distinct("source_id").alias("causes"))
 
 
+#: Kinds of derived things that are copies: they need no new text, so they go when their source changes.
+COPIES = ("event",)
+
+
+def invalidated(stale: DataFrame, copies: tuple[str, ...] = COPIES) -> DataFrame:
+    """What :func:`stale_from` found with its ``action``: copies are deleted at once, all else is stale until it is made anew."""
+    return stale.withColumn("action", F.when(F.col("derived_kind").isin(*copies), "deleted").otherwise("stale"))
+
+
 def without_stale(derived: DataFrame, stale: DataFrame) -> DataFrame:
     return derived.join(stale, ["derived_kind", "derived_key"], "left_anti")

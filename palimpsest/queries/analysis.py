@@ -79,6 +79,43 @@ def arm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Neighbouring documents that are one session, and sessions that a probe brings back.
+SITTING, SESSIONS = 10, 3
+
+
+@book.query(f"""{BM25}, dt AS (SELECT doc_id, doc_id // {SITTING} AS session, {TOK} AS tokens FROM documents), pr AS (SELECT DISTINCT query_id FROM gold),
+sp AS (SELECT doc_id // {SITTING} AS session, term, sum(tf) AS tf FROM p GROUP BY ALL), sl AS (SELECT session, sum(tf) AS dl FROM sp GROUP BY 1), sf AS (SELECT term, count(*) AS df FROM sp GROUP BY 1),
+sz AS (SELECT (SELECT count(DISTINCT session) FROM dt)::DOUBLE AS n, (SELECT sum(dl) FROM sl) / (SELECT count(DISTINCT session) FROM dt)::DOUBLE AS avgdl),
+ss AS (SELECT query_id, session, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {C.bm25_k1 + 1} / (tf + {C.bm25_k1} * (1 - {C.bm25_b} + {C.bm25_b} * dl / avgdl)))::DOUBLE, 6) AS score
+    FROM pr JOIN q USING (query_id) JOIN sp USING (term) JOIN sf USING (term) JOIN sl USING (session), sz GROUP BY ALL),
+sr AS (SELECT query_id, session FROM ss WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session) <= {SESSIONS}),
+picks AS (SELECT 'session_rag' AS arm, query_id, doc_id, tokens FROM sr JOIN dt USING (session) UNION ALL SELECT 'full', query_id, doc_id, tokens FROM pr, dt),
+m AS (SELECT arm, query_id, count(*) AS picked, count(*) FILTER (WHERE g.doc_id IS NOT NULL) AS hits, sum(tokens) AS tokens FROM picks LEFT JOIN gold g USING (query_id, doc_id) GROUP BY ALL)
+SELECT arm, count(*) AS probes, round(avg((hits > 0)::INT), 6)::DOUBLE AS recall, round(sum(hits) / sum(picked), 6)::DOUBLE AS precision, round(avg(tokens), 4)::DOUBLE AS tokens, avg(tokens) + {C.fixed_blocks} <= {C.budget} AS within_budget FROM m GROUP BY 1""")
+def arm_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the arms that take everything, and whole sessions by BM25; a session's postings are the sums of its documents', and it hits by a member.
+
+    What the full arm takes is the same for every probe, so it is summed once and no probe meets a document."""
+    session = F.floor(F.col("doc_id") / SITTING).alias("session")
+    index, asked, docs = corpus(spark, sf_dir)
+    g = saved(gold(spark, sf_dir), "gold").distinct()
+    sizes = table(spark, sf_dir, "documents").select("doc_id", session, T.tokens(F.col("text")).alias("tokens"))
+    probes = g.groupBy("query_id").agg(F.count("*").alias("hits"))
+    whole = sizes.agg(F.count("*").alias("picked"), F.sum("tokens").alias("tokens"))  # one row
+    full = probes.crossJoin(whole).select(F.lit("full").alias("arm"), "picked", "hits", "tokens")
+    sessions = index.groupBy(session, "term").agg(F.sum("tf").alias("tf"))
+    lengths = docs.groupBy(session).agg(F.sum("dl").alias("dl"))
+    best = ops.ranked(ops.bm25(sessions, asked.join(probes, "query_id", "left_semi"), C, key="session", docs=lengths), SESSIONS, key="session").select("query_id", "session")
+    of_session = sizes.groupBy("session").agg(F.count("*").alias("picked"), F.sum("tokens").alias("tokens"))
+    found = g.groupBy("query_id", session).agg(F.count("*").alias("hits"))
+    picked = best.join(of_session, "session").join(found, ["query_id", "session"], "left").groupBy("query_id").agg(F.sum("picked").alias("picked"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits"), F.sum("tokens").alias("tokens"))
+    m = full.unionByName(picked.select(F.lit("session_rag").alias("arm"), "picked", "hits", "tokens"))
+    return m.groupBy("arm").agg(
+        F.count("*").alias("probes"), F.round(F.avg((F.col("hits") > 0).cast("int")), 6).alias("recall"), F.round(F.sum("hits") / F.sum("picked"), 6).alias("precision"),
+        F.round(F.avg("tokens"), 4).alias("tokens"), (F.avg("tokens") + C.fixed_blocks <= C.budget).alias("within_budget"),
+    )
+
+
 @book.query("SELECT conv_id, count(*) AS members, sum(length(text))::BIGINT AS chars, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def session_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the turns of a session put together in order, as one text to retrieve; a digest stands for it. A session is one conversation."""

@@ -305,3 +305,32 @@ def place_percentiles(rows: DataFrame, value: str, points: tuple[int, ...]) -> D
     held = ranges.select("range", "c", "after", each.alias("x")).select("range", (F.col("after") - F.col("c")).alias("before"), "after", "x.p", "x.place").where("place >= before AND place < after")
     upto = counts.join(held, "range").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("p").orderBy(value)))
     return upto.agg(*(F.min(F.when((F.col("p") == p) & (F.col("upto") > F.col("place")), F.col(value))).alias(f"p{p}") for p in points))
+
+
+RULES = "Use only what is written above. Where it says nothing, say that you don't know."
+#: The parts of every arm's prompt, before the utterance; each is a column or a text, and one that is missing is left out.
+PROMPTS = {
+    "oracle": ("persona", "known", "rules"), "proposed": ("context", "rules"), "current": ("persona", "summary", "found", "lately", "rules"),
+    "window": ("persona", "lately", "rules"), "no_memory": ("persona",), "rules_only": ("persona", "rules"),
+}
+#: Search as it was before there were gates: by relevance alone.
+BY_RELEVANCE = replace(C, importance_gate=0.0, relevance_cut=1e-6, relevance_weight=1.0, importance_weight=0.0, surfaced_penalty=0.0)
+OF_BLOCK = {"persona": ("persona", ""), "known": ("known_facts", "[known]\n"), "summary": ("digest:lifetime", "[summary]\n"), "lately": ("recent", "[recent]\n"), "said": ("utterance", "user: ")}
+SQL_NL = "' || chr(10) || '"
+
+
+@book.query(f"""{BLOCKS}, hr AS (SELECT chat, now, '[found]' || chr(10) || string_agg('- ' || summary, chr(10) ORDER BY rank) AS found FROM (SELECT *, row_number() OVER (PARTITION BY chat, now ORDER BY relevance DESC, item) AS rank FROM judged WHERE relevance >= 0.000001) WHERE rank <= {C.top_k} GROUP BY chat, now),
+pt AS (SELECT chat, now, string_agg('[' || name || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY volatility, name) AS context, '{RULES.replace("'", "''")}' AS rules, {', '.join(f"'{mark.replace(chr(10), SQL_NL)}' || max(text) FILTER (WHERE name = '{block}') AS {part}" for part, (block, mark) in OF_BLOCK.items())} FROM blocks GROUP BY chat, now),
+pm AS ({' UNION ALL '.join(f"SELECT chat, now, '{arm}' AS arm, concat_ws(chr(10), {', '.join(parts)}, said, 'assistant:') AS prompt FROM pt LEFT JOIN hr USING (chat, now)" for arm, parts in PROMPTS.items())})
+SELECT *, greatest(1, floor(length(prompt) * 1.5))::BIGINT AS tokens FROM pm""")
+def prompt_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8: the prompt of every user turn in six arms, which differ in what is remembered only; the parts are those of the context, built once."""
+    from ..functions import text as T
+
+    u = asked(spark, sf_dir)
+    b = saved(blocks(spark, sf_dir), "blocks")
+    parts = [F.concat(F.lit(mark), F.max(F.when(F.col("name") == block, F.col("text")))).alias(part) for part, (block, mark) in OF_BLOCK.items()]
+    hits = memory.lines(memory.retrieved(u, items(spark, sf_dir), C.top_k, BY_RELEVANCE), F.col("rank"), F.concat(F.lit("- "), "summary")).select("chat", "now", F.concat(F.lit("[found]\n"), "text").alias("found"))
+    p = b.groupBy("chat", "now").agg(*parts).join(memory.rendered(b).select("chat", "now", "context"), ["chat", "now"]).join(hits, ["chat", "now"], "left").withColumn("rules", F.lit(RULES))
+    each = F.array(*(F.struct(F.lit(arm).alias("arm"), F.concat_ws("\n", *names, "said", F.lit("assistant:")).alias("prompt")) for arm, names in PROMPTS.items()))
+    return p.select("chat", "now", F.explode(each).alias("x")).select("chat", "now", "x.arm", "x.prompt").withColumn("tokens", T.tokens(F.col("prompt")))

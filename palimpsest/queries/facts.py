@@ -127,3 +127,13 @@ def stale_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived things that may still be served."""
     links, gone = stale(spark, sf_dir)
     return ops.without_stale(links.select("derived_kind", "derived_key").distinct(), gone)
+
+
+@book.query(f"""{DERIVED.split("stale AS")[0].rstrip().rstrip(',')}, e AS (SELECT * FROM d UNION ALL SELECT doc_id, 'event', 'e' || doc_id FROM documents)
+SELECT derived_kind, derived_key, count(DISTINCT doc_id) AS causes, CASE WHEN derived_kind = 'event' THEN 'deleted' ELSE 'stale' END AS action FROM e JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY ALL""")
+def derived_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of poor quality are updated; events copied from them are deleted at once, digests of them go stale."""
+    documents = table(spark, sf_dir, "documents")
+    events = documents.select(F.lit("doc").alias("source_kind"), F.col("doc_id").alias("source_id"), F.lit("event").alias("derived_kind"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("derived_key"))
+    updated = table(spark, sf_dir, "labels").where("quality = 0").select(F.lit("doc").alias("source_kind"), F.col("doc_id").alias("source_id")).distinct()
+    return ops.invalidated(ops.stale_from(updated, derivations(documents).unionByName(events)))

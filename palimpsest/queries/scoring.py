@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import episodes
+from ..operators import digests, episodes
 from ..operators import retrieval as ops
 from . import context
 from .analysis import ARMS, arms
@@ -238,6 +238,37 @@ def summary_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("role = 'user'").join(s, "chat").groupBy(F.col("chat").alias("conv_id")).agg(F.count("*").alias("items"), F.count_if(kept).alias("survived"))
 
 
+def sql_extract(units: str, k: int) -> str:
+    """SQL: the ``k`` units of a list of (i, r) whose roots are most common in the list."""
+    common = f"len(list_filter(flatten(list_transform({units}, lambda v: v.r)), lambda y: y = x))"
+    scored = f"list_transform({units}, lambda u: struct_pack(s := -(list_sum(list_transform(u.r, lambda x: {common}))::BIGINT * 1000000 // len(u.r)), i := u.i, r := u.r))"
+    return f"list_sort(list_transform(list_sort({scored})[1:{k}], lambda z: struct_pack(i := z.i, r := z.r)))"
+
+
+#: Neighbouring conversations that are the sessions of one user.
+LIFETIME = 10
+DG = digests
+
+
+@book.query(f"""WITH RECURSIVE {SQL_ROOTS}, un AS (SELECT conv_id // {LIFETIME} AS owner, conv_id AS session, conv_id * 1000 + turn AS i, role, list(root) AS r FROM roots JOIN conversations USING (conv_id, turn) WHERE role <> 'system' GROUP BY ALL),
+se AS (SELECT owner, session, row_number() OVER (PARTITION BY owner ORDER BY session) AS n, e, {sql_extract('e', DG.SESSION)} AS d FROM (SELECT owner, session, list(struct_pack(i := i, r := r) ORDER BY i) AS e FROM un GROUP BY ALL)),
+al AS (SELECT owner, session, n, d, flatten(list(e) OVER w) AS e, flatten(list(d) OVER w) AS ds, flatten(list(d) OVER (PARTITION BY owner ORDER BY n ROWS {DG.WINDOW - 1} PRECEDING)) AS lw FROM se WINDOW w AS (PARTITION BY owner ORDER BY n)),
+f AS (SELECT owner, n, {sql_extract('d', DG.LIFE)} AS p2, {sql_extract('d', DG.LIFE)} AS p3, 2::BIGINT AS depth FROM al WHERE n = 1
+    UNION ALL SELECT owner, n, {sql_extract('c2', DG.LIFE)}, {sql_extract('c3', DG.LIFE)}, depth
+    FROM (SELECT al.owner, al.n, list_concat(f.p2, al.d) AS c2, CASE WHEN al.n % {DG.EVERY} = 0 THEN al.e ELSE list_concat(f.p3, list_filter(al.lw, lambda v: NOT list_contains(list_transform(f.p3, lambda z: z.i), v.i))) END AS c3,
+        CASE WHEN al.n % {DG.EVERY} = 0 THEN 1 ELSE f.depth + 1 END AS depth FROM f JOIN al ON al.owner = f.owner AND al.n = f.n + 1)),
+li AS (SELECT owner, n, '{DG.POLICIES[0]}' AS policy, 1 AS depth, {sql_extract('e', DG.LIFE)} AS l FROM al UNION ALL SELECT owner, n, '{DG.POLICIES[1]}', n + 1, p2 FROM f
+    UNION ALL SELECT owner, n, '{DG.POLICIES[2]}', depth, p3 FROM f UNION ALL SELECT owner, n, '{DG.POLICIES[3]}', 2, {sql_extract('ds', DG.LIFE)} FROM al),
+tl AS (SELECT owner, session, policy, depth, array_to_string(list_transform(l, lambda z: z.i), ',') AS digest, flatten(list_transform(l, lambda z: z.r)) AS told FROM li JOIN (SELECT owner, n, session FROM al) USING (owner, n))
+SELECT tl.owner, tl.session, policy, depth::BIGINT AS depth, digest, count(un.i) AS items, count(*) FILTER (WHERE len(list_intersect(un.r, told)) * 2 >= len(un.r)) AS survived
+FROM tl LEFT JOIN un ON un.owner = tl.owner AND un.session <= tl.session AND un.role = 'user' GROUP BY ALL""")
+def digest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of a user's life after every session by four policies, how deep it is, and how many of the user's turns survive in it."""
+    t = turns(spark, sf_dir).where("role <> 'system'")
+    t = t.select(F.floor(F.col("chat") / LIFETIME).alias("owner"), F.col("chat").alias("session"), (F.col("chat") * 1000 + F.col("seq")).alias("at"), "role", "text")
+    return digests.chains(t, F.col("role") == "user", C)
+
+
 @book.query("SELECT user_id, count(*) AS events FROM (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY ts::DATE) AS d FROM events) WHERE d <= 3 GROUP BY 1")
 def first_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in the first three days on which a user was seen."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..schemas import migrated
 from ..sources import corpus, files
 from ..streaming import shared
@@ -117,3 +118,14 @@ def corpus_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = max(24, -(-b.count() // 15))
     planted = b.select(F.format_string("S%02d", F.col("item_id") % sessions + 1).alias("session"), (F.col("item_id") % 30 + 1).cast("int").alias("turn"), F.concat(F.lit("B"), F.lpad(F.col("item_id").cast("string"), 9, "0")).alias("planted_id"), F.lit("event").alias("kind"), "text")
     return corpus.generate(spark, planted, sessions).where("planted_id IS NOT NULL").select("seq", "session", "turn", "planted_id")
+
+
+SPEC = "CASE n % 4 WHEN 0 THEN concat(n % 7, 'd') WHEN 1 THEN concat('S', lpad(CAST(n % 30 + 1 AS VARCHAR(9)), 2, '0')) WHEN 2 THEN 'session_start' ELSE 'soon' END"
+
+
+@book.query(f"""WITH c AS ({ORACLES["corpus_planted"]}), n AS (SELECT seq, session, CAST(substr(planted_id, 2) AS BIGINT) AS n, CAST(substr(session, 2) AS BIGINT) AS setup FROM c), s AS (SELECT *, {SPEC} AS spec FROM n)
+SELECT seq, session, spec, CASE WHEN regexp_full_match(spec, '[0-9]+d') THEN greatest(setup + CAST(replace(spec, 'd', '') AS BIGINT), setup + 1) WHEN regexp_full_match(spec, 'S[0-9]+') THEN greatest(CAST(substr(spec, 2) AS BIGINT), setup + 1) WHEN spec = 'session_start' THEN setup + 1 END AS due FROM s""")
+def trigger_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session names such as ``S07`` and times such as ``3d`` of the planted items, and the session in which each trigger first fires."""
+    c = corpus_planted(spark, sf_dir).withColumn("n", F.expr("CAST(substr(planted_id, 2) AS BIGINT)")).withColumn("spec", F.expr(SPEC))
+    return c.select("seq", "session", "spec", T.first_due(T.session_number(F.col("session")), F.col("spec")).alias("due"))

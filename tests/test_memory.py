@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import DEFAULT, KOREAN, Config
 from palimpsest.functions import scoring, text
-from palimpsest.operators import episodes, facts, gate, memory, retrieval
+from palimpsest.operators import digests, episodes, facts, gate, memory, retrieval
 from palimpsest.plans import cache
 
 K = Config(pack=KOREAN)
@@ -455,3 +455,37 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert counts() == {"done": 50} and sorted(map(tuple, resume.written(spark, path, source.schema).select("id", "text").collect())) == rows
     resume.run(stream, path)  # nothing is left to do
     assert resume.written(spark, path, source.schema).count() == 50
+
+
+def test_session_names_and_times(spark):
+    d = spark.createDataFrame([("S07", "3d"), ("S1", "S09"), ("S12", "S02"), ("S3", "session_start"), ("7", "0d"), (None, None), ("S03", " 0d "), ("S03", "d3"), ("S03", "soon")], "name string, spec string")
+    n = text.session_number(F.col("name"))
+    got = [tuple(r) for r in d.select(n, text.days(F.col("spec")), text.first_due(n, F.col("spec"))).collect()]
+    assert got == [(7, 3, 10), (1, None, 9), (12, None, 13), (3, None, 4), (None, 0, None), (None, None, None), (3, 0, 4), (3, None, None), (3, None, None)]
+
+
+def test_copies_are_deleted_and_digests_go_stale(spark):
+    links = spark.createDataFrame([("doc", 1, "event", "e1"), ("doc", 1, "digest", "d"), ("doc", 2, "digest", "d"), ("doc", 3, "event", "e3")], "source_kind string, source_id long, derived_kind string, derived_key string")
+    changed = spark.createDataFrame([("doc", 1), ("doc", 2)], "source_kind string, source_id long")
+    got = {(r.derived_key, r.causes, r.action) for r in facts.invalidated(facts.stale_from(changed, links)).collect()}
+    assert got == {("e1", 1, "deleted"), ("d", 2, "stale")}
+
+
+def test_digest_chains(spark):
+    """Depth by policy, drift along the incremental chain only, null and empty texts, a null owner, an empty table."""
+    topics = [["harbour", "ship", "sail"], ["garden", "tulip", "spade"], ["oven", "bread", "flour"], ["violin", "concert", "stage"]]
+    rows = [(1, s, 100 * s + i, " ".join(topics[s % 4] + [f"word{s}x{i}"])) for s in range(9) for i in range(4)]
+    rows += [(1, 9, 900, None), (1, 10, 1000, ""), (2, 0, 5, "only turn here"), (None, 0, 1, "nobody said this"), (2, 0, 5, "only turn here")]
+    t = spark.createDataFrame(rows, "owner long, session long, at long, text string")
+    got = {(r.owner, r.session, r.policy): r for r in digests.chains(t, F.col("at") % 2 == 0, K).collect()}
+    assert {s for o, s, _ in got if o == 1} == set(range(9))  # sessions without words are left aside
+    assert [got[1, s, "P1_full_rewrite"].depth for s in range(9)] == [1] * 9 and [got[1, s, "P4_all_digests"].depth for s in range(9)] == [2] * 9
+    assert [got[1, s, "P2_incremental"].depth for s in range(9)] == list(range(2, 11))
+    assert [got[1, s, "P3_tiered"].depth for s in range(9)] == [2, 3, 4, 1, 2, 3, 4, 1, 2]
+    assert all(got[1, s, p].items == 2 * (s + 1) for s in range(9) for p in digests.POLICIES)
+    for s in range(9):
+        whole = digests.extract([(100 * q + i, frozenset(x[3].split())) for q in range(s + 1) for i, x in enumerate(rows[4 * q : 4 * q + 4])], digests.LIFE)
+        assert got[1, s, "P1_full_rewrite"].digest == ",".join(str(at) for at, _ in whole)
+    assert got[2, 0, "P2_incremental"].digest == "5" and got[2, 0, "P1_full_rewrite"].items == 0 and got[None, 0, "P1_full_rewrite"].digest == "1"
+    assert got[1, 8, "P2_incremental"].digest != got[1, 8, "P1_full_rewrite"].digest
+    assert digests.chains(t.limit(0), F.lit(True), K).count() == 0
