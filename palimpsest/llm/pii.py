@@ -31,6 +31,7 @@ SURE = 0.85
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of every kind
 
 TRIGGER, SPELLED, SPACE = re.compile("[0-9@]+"), re.compile(r"[0-9@]+|\b(?:dot|DOT|Dot)\b"), re.compile(r"\s")
+NAMED = re.compile(r"[^\s(\[]{1,64}\s{0,3}(?:[(\[]at[)\]]|(?<=\s)at(?=\s))", re.I)  # a word, then an "at" in brackets or as a word of its own
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # equal to the plain pattern, but linear on long runs of digits
@@ -248,7 +249,7 @@ def lesson(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
         gap = pick([" ", "-", "."])
         return pick([
             f"({n(3)}) {n(3)}-{n(4)}", gap.join((n(3), n(3), n(4))), gap.join(("0" + n(1), n(2), n(2), n(2), n(2))), f"0{n(2)} {n(4)} {n(4)}", f"0{n(3)} {n(3)} {n(4)}",
-            f"0{n(2)}{pick([' ', '-', '/'])}{n(7)}", f"0{n(2)}{pick([' ', '-', '/'])}{n(8)}", f"0{n(4)} {n(6)}", f"6{n(2)} {n(2)} {n(2)} {n(2)}", f"9{n(2)} {n(3)} {n(3)}",
+            f"0{n(2)}{pick([' ', '-', '/'])}{n(7)}", f"0{n(2)}{pick([' ', '-', '/'])}{n(8)}", f"0{n(4)} {n(6)}", f"0{n(3)}{pick([' ', '-', '/'])}{n(int(r.integers(6, 9)))}", f"6{n(2)} {n(2)} {n(2)} {n(2)}", f"9{n(2)} {n(3)} {n(3)}",
             f"+{pick(['1', '44', '49', '33', '34'])} {n(3)} {n(3)} {n(4)}", f"+{n(2)} ({n(3)}) {n(3)}-{n(4)}", f"+{n(2)}{gap}{n(2)}{gap}{n(4)}{gap}{n(3)}",
         ])
 
@@ -317,10 +318,11 @@ def window_starts(text: str) -> list[int]:
 
 
 def tidied(text: str, kind: int, start: int, end: int) -> tuple[int, int]:
-    """A span of an e-mail address with an ``@`` is cut to the signs round it, as none of them is white space."""
+    """A span of an e-mail address with an ``@`` is cut to the signs round it, as none of them is white space; one that is spelled out begins with the one word before its "at"."""
     at = text.find("@", start, end) if kind == 0 else -1
     if at < 0:
-        return start, end
+        aloud = list(NAMED.finditer(text, start, end)) if kind == 0 else []
+        return (aloud[-1].start() if aloud else start), end
     gaps = [m.start() for m in SPACE.finditer(text, start, end)]
     return max([g + 1 for g in gaps if g < at], default=start), min([g for g in gaps if g > at], default=end)
 
@@ -401,6 +403,11 @@ def plausible(kind: int, s: str, score: float) -> bool:
     return kind == 2 or not s.isdigit()
 
 
+def splits(text: str, start: int, end: int) -> bool:
+    """Whether a span begins or ends within a word or a number."""
+    return any(0 < i < len(text) and (text[i - 1].isalpha() and text[i].isalpha() or text[i - 1].isdigit() and text[i].isdigit()) for i in (start, end))
+
+
 def find(model: Tagger, texts: list[str | None]) -> list[tuple[list, list]]:
     """Base spans and all spans of each whole text, both by kind and start. Added spans overlap no base span."""
     out: list[tuple[list, list]] = [([], [])] * len(texts)
@@ -408,7 +415,7 @@ def find(model: Tagger, texts: list[str | None]) -> list[tuple[list, list]]:
     for i, found in zip(some, proposals(model, [texts[i] for i in some])):
         base = base_spans(texts[i])
         taken = sorted(base, key=lambda s: s[1])
-        checked = [p for p in found if plausible(p[1], texts[i][p[2] : p[3]], p[0]) and not any(s[1] < p[3] and p[2] < s[2] for s in near(taken, p))]
+        checked = [p for p in found if plausible(p[1], texts[i][p[2] : p[3]], p[0]) and not splits(texts[i], p[2], p[3]) and not any(s[1] < p[3] and p[2] < s[2] for s in near(taken, p))]
         out[i] = base, sorted(base + reconciled(checked))
     return out
 

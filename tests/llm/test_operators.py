@@ -302,6 +302,38 @@ def test_spans_of_another_generator(tagger):
     assert hit / said > 0.9 and hit / there > 0.85
 
 
+def test_added_spans_alone(tagger):
+    """Precision and recall of what the network adds, apart from what the patterns find: over all, and recall by kind."""
+    r, hit, said, there = np.random.default_rng(77), 0, 0, 0
+    by_kind = {}
+    for _ in range(400):
+        text, spans = "", {}
+        for _ in range(6):
+            text += " ".join(r.choice(PLAIN_WORDS, int(r.integers(3, 9)))) + " "
+            what = str(r.choice(PLANTED if r.random() < 0.5 else ORDINARY))
+            if what in PLANTED:
+                spans[len(text), len(text) + len(what)] = PLANTED.index(what)
+            text += what + str(r.choice([" ", ", ", ". ", "; "]))
+        base, every = pii.find(tagger, [text])[0]
+        known = {(a, b) for _, a, b in base}
+        added, want = {(a, b) for _, a, b in every} - known, set(spans) - known
+        hit, said, there = hit + len(added & want), said + len(added), there + len(want)
+        for s in want:
+            kind = "email" if spans[s] < 5 else "ip" if spans[s] < 8 else "card" if spans[s] < 12 else "phone"
+            found, of = by_kind.get(kind, (0, 0))
+            by_kind[kind] = (found + (s in added), of + 1)
+    print(f"added spans: precision {hit / said:.3f}, recall {hit / there:.3f}, by kind {by_kind}")
+    assert hit / said > 0.9 and hit / there > 0.9
+    assert all(found / of > 0.8 for found, of in by_kind.values())
+
+
+def test_spelled_addresses_begin_with_one_word():
+    for text, want in (("mail john at example dot com", "john at example dot com"), ("to anna.b [at] mail [dot] org", "anna.b [at] mail [dot] org"), ("to joe(at)web(dot)de", "joe(at)web(dot)de"), ("x AT y DOT z", "x AT y DOT z"), ("nothing", "nothing")):
+        start, end = pii.tidied(text, 0, 0, len(text))
+        assert text[start:end] == want
+    assert pii.splits("dot and", 0, 6) and not pii.splits("dot and", 0, 7) and pii.splits("1234", 0, 2) and not pii.splits("tel12", 3, 5)
+
+
 def test_network_alone_on_held_out_spans(tagger):
     r, hit, said, there = np.random.default_rng(99), 0, 0, 0
     for _ in range(200):
