@@ -33,6 +33,8 @@ def merged_into(sets: list[frozenset], at_least: float) -> list[int]:
 
 #: Observations of a chat in a block, observations that share a group of blocks, and bytes of sets that are compared at once.
 TURNS, SETS, BYTES = 4096, 20_000, 1 << 25
+#: Pairs that are so few that comparing them all costs less than looking for candidates.
+PAIRS = 4096
 
 
 def _bits(row: np.ndarray, term: np.ndarray, sets: int, terms: int) -> np.ndarray:
@@ -68,8 +70,8 @@ def closest(late: tuple, early: tuple, at_least: float) -> tuple[np.ndarray, np.
     terms = int(max(q_term.max(initial=-1), d_term.max(initial=-1))) + 1
     q_size, d_size = np.bincount(q_row, minlength=len(q_place)), np.bincount(d_row, minlength=len(d_place))
     rank = np.argsort(np.argsort(np.bincount(np.concatenate([q_term, d_term]), minlength=terms), kind="stable"))
-    asked, held = _prefix(q_row, q_term, rank, q_size, at_least), _prefix(d_row, d_term, rank, d_size, at_least)
-    may = np.zeros((len(q_place), len(d_place)), bool)
+    may = np.full((len(q_place), len(d_place)), len(q_place) * len(d_place) <= PAIRS)
+    asked, held = ({}, {}) if may.all() else (_prefix(q_row, q_term, rank, q_size, at_least), _prefix(d_row, d_term, rank, d_size, at_least))
     for term in asked.keys() & held.keys():
         (q, q_left), (d, d_left) = asked[term], held[term]
         room = np.minimum(q_left[:, None], d_left) * (1 + at_least) + 1e-9 >= at_least * (q_size[q][:, None] + d_size[d])
