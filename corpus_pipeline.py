@@ -28,6 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity of at least 0.8) stays, the one with the smallest doc_id.
 
+    Classes of close SimHash fingerprints and blocks of minima propose pairs, sets of shingles decide.
     Null, empty and blank texts are copies of each other; a null doc_id stays only where its group has no other; of repeated rows
     one stays; long texts are compared whole; an empty table gives no rows. Other columns pass through."""
     return simhash.survivors(docs)

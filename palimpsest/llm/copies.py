@@ -1,8 +1,7 @@
 """Near copies by Jaccard similarity, for the pipeline: documents whose sets of 5-word shingles agree by at least 0.8.
 
-Like the fingerprints of :mod:`simhash`, sketches are cut into blocks that close pairs share, joined on blocks and then verified; but bits
-of a SimHash differ too often at this similarity (about 10 of 64) for blocks that are selective. So a sketch has 150 minima of a text's
-64-bit shingle hashes, in 30 blocks of 5: two sets of similarity 0.8 miss each other in all 30 with odds of 7e-6, more similar ones with less.
+Classes of close fingerprints (:mod:`simhash`) are compared exactly. Bits of a SimHash differ too often at this similarity (about 10 of 64)
+for classes that hold every such pair, so sketches are cut into blocks, too: a sketch has 150 minima of a text's 64-bit shingle hashes, in 30 blocks of 5: two sets of similarity 0.8 miss each other in all 30 with odds of 7e-6, more similar ones with less.
 Sets that share a block meet in one task, which compares them exactly and gives the edges of a spanning forest of its links, not its
 pairs. Blocks with the same members meet once. Only sets that meet another one are sent; a bitmap of fixed size tells which texts
 can have such sets.
@@ -76,9 +75,9 @@ def names(texts: pa.Array) -> pa.Array:
     return pa.array([named(shingles(t)) for t in texts.to_pylist()], pa.int64())
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, the name of its set (fp), the set's size (n) and keys, for every row."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+def sketches(docs: DataFrame, prints) -> DataFrame:
+    """doc_id, the name of its set (fp), the set's size (n), keys and the fingerprint (bits) that ``prints`` gives of its text, for every row."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.LongType())])
 
     def run(batches):
         for whole in batches:
@@ -86,7 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t) for t in batch.column(1).to_pylist()]
                 made = np.concatenate([keys(s) for s in sets]) if sets else np.zeros(0, np.int64)
                 ends = pa.array(np.arange(len(sets) + 1) * KEYS, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(made))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(made)), prints(batch.column(1))], names=schema.names)
 
     return modest(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
@@ -177,10 +176,13 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def links(docs: DataFrame, made: DataFrame) -> DataFrame:
-    """Edges (a, b) between the sets named in ``made(fp, n, keys)`` whose components are those of all links."""
+def links(docs: DataFrame, made: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets named in ``made(fp, n, keys)`` whose components are those of all links.
+
+    Sets of one group of ``proposed(fp, n, bits)``, the classes of close fingerprints, meet like those that share one more key."""
     once = made.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = stash(once.select("fp", "n", F.posexplode("keys").alias("key", "bits")), "keyed")
+    keyed = once.select("fp", "n", F.posexplode("keys").alias("key", "bits"))
+    keyed = stash(keyed.unionByName(proposed.select("fp", "n", F.lit(KEYS).alias("key"), "bits")), "keyed")
     members = lambda salt: F.bit_xor(F.xxhash64("fp", F.lit(salt)))
     groups = keyed.groupBy("key", "bits").agg(F.count("*").alias("count"), members(1).alias("x"), members(2).alias("y"), F.sum("n").alias("size")).where("count > 1")
     # near copies share most of their keys; keys with the same members need not meet more than once

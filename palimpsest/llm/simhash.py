@@ -203,14 +203,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return made.join(classes(made), "fp").select("doc_id", "fp", "component_id")
 
 
+def proposed(made: DataFrame) -> DataFrame:
+    """(fp, n, bits): the sets of ``made(fp, n, bits)``, each under the smallest fingerprint that links of at most NEAR bits reach from its own."""
+    sets = stash(made.select("fp", "n", "bits").distinct(), "proposed")
+    member = components(links(sets.select(F.col("bits").alias("fp")).distinct()))
+    return sets.join(member.withColumnRenamed("node", "bits"), "bits", "left").select("fp", "n", F.coalesce("root", "bits").alias("bits")).distinct()
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of every group of near copies, with the columns of ``docs``: the one with the smallest doc_id.
 
-    Not by fingerprints: links are sets of 5-word shingles with a Jaccard similarity of at least 0.8 (:mod:`copies`), groups what links
-    join. A group without any doc_id keeps one of its rows; of repeated rows one stays; texts without a word are copies of each other."""
-    made = stash(copies.sketches(docs), "sketches")
+    Links are sets of 5-word shingles with a Jaccard similarity of at least 0.8, groups what links join. Pairs come from the classes of close
+    fingerprints and, as such sets may differ in more bits, from the blocks of :mod:`copies`; all are compared exactly. A group without any doc_id keeps one of its rows; of repeated rows one stays; texts without a word are copies of each other."""
+    made = stash(copies.sketches(docs, hashed), "sketches")
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "fp")
-    found = made.select("doc_id", "fp").join(classes(made, copies.links(docs, made)), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
+    found = made.select("doc_id", "fp").join(classes(made, copies.links(docs, made, proposed(made))), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
     keep = found.select(F.col("k.doc_id").alias("keep_id"), F.col("k.fp").alias("keep_fp")).select("keep_id", "keep_fp", F.xxhash64(F.col("keep_id").isNull(), "keep_id", "keep_fp").alias("keep_key"))
     rows = named(docs).select("own", F.col("own.doc_id").alias("doc_id"), "fp").select("own", "doc_id", "fp", key.alias("row_key"))
     same = (F.col("row_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import copies, langid, mixing, pii
+from palimpsest.llm import copies, langid, mixing, pii, simhash
 from palimpsest.llm.common import stash
 
 from .test_operators import DOCS, odd_rows
@@ -102,3 +102,18 @@ def test_odd_rows_and_empty_tables_through_all_stages(spark, data, tmp_path):
                 assert made.count() == len(odd_rows()) and made.where("text LIKE '%<EMAIL>%'").count() == 2 and made.where("text IS NULL").count() == 1
             elif name == "pack":
                 assert len(ids) == 10
+
+
+def test_near_dedup_goes_through_classes_of_close_fingerprints(spark):
+    """Texts whose fingerprints differ in at most 3 bits meet under one name, whatever their other keys are; all others stay apart."""
+    own = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(own), " ".join([*own[:1500], "changed", *own[1501:]]), " ".join(f"v{i}" for i in range(3000)), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = [simhash.fingerprint(t) for t in texts]
+    assert 0 < (bits[0] ^ bits[1]).bit_count() <= 3 < (bits[0] ^ bits[2]).bit_count()
+    made = stash(copies.sketches(docs, simhash.hashed), "sketches")
+    name = {r.doc_id: r.fp for r in made.collect()}
+    at = {r.fp: r.bits for r in simhash.proposed(made).collect()}
+    assert at[name[0]] == at[name[1]] != at[name[2]] and name[3] == name[4] and len(at) == 4
+    met = {frozenset((r.a, r.b)) for r in copies.links(docs, made.withColumn("keys", F.array(F.col("fp"))), simhash.proposed(made)).collect()}
+    assert met == {frozenset((name[0], name[1]))}  # no other key is shared
