@@ -34,8 +34,8 @@ def judged(asked: DataFrame, items: DataFrame, config: Config = DEFAULT) -> Data
     return _scored(q.join(d, "chat").where("seq < now").withColumn("relevance", F.round(T.containment(F.col("q"), F.col("d")), 6)), config)
 
 
-#: Turns of a chat in a block, items that share a group of blocks, and pairs that a task counts at once.
-TURNS, ITEMS, PAIRS = 4096, 20_000, 1 << 21
+#: Turns of a chat in a block, items that share a group of blocks, and pairs and shared terms that a task counts at once.
+TURNS, ITEMS, PAIRS = 4096, 2_000, 1 << 18
 #: What is told of an item.
 KEPT = ("item", "seq", "summary", "weight", "surfaced")
 
@@ -91,7 +91,9 @@ def _closest(k: int, schema: types.StructType, config: Config):
         weight, seq = items.column("weight").to_numpy(), items.column("seq").to_numpy()
         base = config.importance_weight * weight - config.surfaced_penalty * np.asarray(pa.compute.fill_null(items.column("surfaced"), 0))
         now, asked = queries.column("now").to_numpy(), np.bincount(q_row, minlength=len(queries))
-        pairs, starts = np.cumsum(sizes[q_chat]), np.searchsorted(q_row, np.arange(len(queries) + 1))
+        starts = np.searchsorted(q_row, np.arange(len(queries) + 1))
+        met = np.concatenate([[0], np.cumsum(end - begin)])  # postings of the terms before
+        pairs = np.cumsum(sizes[q_chat] + np.diff(met[starts]))
         out: list[tuple] = []
         at = 0
         while at < len(queries):
@@ -130,14 +132,15 @@ def best(rows: DataFrame, k: int) -> DataFrame:
     return rows.where("decision = 'kept'").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def recent(turns: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(chat, now, seq, role, text): the turns in every turn's window. The window's far end moves in steps of ``window_chunk``, so it
+def recent(turns: DataFrame, config: Config = DEFAULT, at: DataFrame | None = None) -> DataFrame:
+    """(chat, now, seq, role, text): the turns in every turn's window, or in those of the turns ``at(chat, now)``. The window's far end moves in steps of ``window_chunk``, so it
     holds between ``window_turns - 1`` and ``window_turns + window_chunk - 2`` turns.
 
     A turn is handed to the few steps whose windows can hold it, so turns meet by chat and step, not by chat."""
     step = config.window_chunk
     first = F.floor(F.col("seq") / step) * step
     a = turns.select("chat", F.col("seq").alias("now"), first.alias("anchor"))
+    a = a if at is None else a.join(at, ["chat", "now"], "left_semi")
     b = turns.select("chat", "seq", "role", "text", F.explode(F.sequence(first, F.greatest(first, F.col("seq") + config.window_turns - 1), F.lit(step).cast("long"))).alias("anchor"))
     return a.join(b, ["chat", "anchor"]).where((F.col("seq") > F.col("anchor") - config.window_turns) & (F.col("seq") < F.col("now"))).drop("anchor")
 
@@ -159,8 +162,8 @@ def assembled(blocks: list[DataFrame]) -> DataFrame:
     return out.withColumn("tokens", T.tokens(F.col("text")))
 
 
-def rendered(blocks: DataFrame) -> DataFrame:
-    """(chat, now, n_blocks, tokens, context): blocks by rising volatility, so what changes least comes first."""
+def rendered(blocks: DataFrame, *more: Column) -> DataFrame:
+    """(chat, now, n_blocks, tokens, context) and what ``more`` aggregates: blocks by rising volatility, so what changes least comes first."""
     order = F.sort_array(F.collect_list(F.struct("volatility", "name", "text")))
     whole = F.array_join(F.transform(order, lambda b: F.concat(F.lit("["), b["name"], F.lit("]\n"), b["text"])), "\n\n")
-    return blocks.groupBy("chat", "now").agg(F.count("*").alias("n_blocks"), F.sum("tokens").alias("tokens"), whole.alias("context"))
+    return blocks.groupBy("chat", "now").agg(F.count("*").alias("n_blocks"), F.sum("tokens").alias("tokens"), whole.alias("context"), *more)

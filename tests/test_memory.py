@@ -489,3 +489,28 @@ def test_digest_chains(spark):
     assert got[2, 0, "P2_incremental"].digest == "5" and got[2, 0, "P1_full_rewrite"].items == 0 and got[None, 0, "P1_full_rewrite"].digest == "1"
     assert got[1, 8, "P2_incremental"].digest != got[1, 8, "P1_full_rewrite"].digest
     assert digests.chains(t.limit(0), F.lit(True), K).count() == 0
+
+
+def test_the_search_of_many_chats_counts_few_pairs_at_once():
+    """Counting shared terms takes memory by what is counted at once, not by the terms of all queries and items of a task."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    r = np.random.default_rng(3)
+    chats, turns, terms = 4, 400, [f"t{i}" for i in range(300)]
+    some = lambda: [terms[i] for i in r.permutation(300)[:150]]
+    at = [(c, s) for c in range(chats) for s in range(turns)]
+    chat, seq = [c for c, _ in at], [s for _, s in at]
+    queries = pa.table({"chat": chat, "now": seq, "q": [some() for _ in at]})
+    items = pa.table({"chat": chat, "item": seq, "seq": seq, "summary": ["x"] * len(at), "weight": [0.5] * len(at), "surfaced": [0] * len(at), "d": [some() for _ in at]})
+    kinds = {"chat": T.LongType(), "now": T.LongType(), "item": T.LongType(), "seq": T.LongType(), "summary": T.StringType(), "weight": T.DoubleType(), "surfaced": T.LongType(), "shared": T.LongType(), "asked": T.LongType()}
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+    tracemalloc.start()
+    found = memory._closest(5, schema, DEFAULT)(queries, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    q, d = {(c, s): set(x) for c, s, x in zip(chat, seq, queries.column("q").to_pylist())}, {(c, s): set(x) for c, s, x in zip(chat, seq, items.column("d").to_pylist())}
+    assert all(row["shared"] == len(q[row["chat"], row["now"]] & d[row["chat"], row["item"]]) for row in found.to_pylist()) and len(found) >= chats * (turns - 5) * 5
+    assert peak < 150e6
