@@ -60,9 +60,11 @@ REASONS = {
 GATED = f"{T_CTE}, {ITEMS}, {VOCAB}, gd AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variant, chat, seq AS now, {e} AS reason FROM t LEFT JOIN voc USING (chat) WHERE role = 'user'" for v, e in REASONS.items()) + ")"
 
 
-def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = asked(spark, sf_dir).join(gate.vocabulary(items(spark, sf_dir), C), "chat", "left")
-    each = F.array(*(F.struct(F.lit(v).alias("variant"), gate.decide(F.col("query"), F.col("vocab"), v, C).alias("reason")) for v in gate.VARIANTS))
+def gated(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] = gate.VARIANTS, at: DataFrame | None = None) -> DataFrame:
+    """(variant, chat, now, reason) of every utterance, or of those of ``at(chat, now)``."""
+    u = asked(spark, sf_dir) if at is None else asked(spark, sf_dir).join(at, ["chat", "now"], "left_semi")
+    both = u.join(gate.vocabulary(items(spark, sf_dir), C), "chat", "left")
+    each = F.array(*(F.struct(F.lit(v).alias("variant"), gate.decide(F.col("query"), F.col("vocab"), v, C).alias("reason")) for v in variants))
     return both.select("chat", "now", F.explode(each).alias("g")).select("g.variant", "chat", "now", "g.reason")
 
 
@@ -169,49 +171,56 @@ dg AS (SELECT chat, kind, string_agg(substr(text, 1, 40), ' / ' ORDER BY seq) AS
 du AS (SELECT user_id AS chat, due_at - {CLOCK} AS now, setup FROM (SELECT user_id, setup, unnest([a1, a2, a3]) AS due_at FROM ({costs.FOLDED} SELECT * FROM s3)) WHERE due_at IS NOT NULL)"""
 
 
-def evidence_facts(spark: SparkSession, sf_dir: str, standing: tuple[str, ...] | None) -> DataFrame:
-    """(chat, line) of live facts; of the standing predicates, or of all."""
-    live = fact_ops.current(stored(spark, sf_dir), standing)
+def evidence_facts(spark: SparkSession, sf_dir: str, standing: tuple[str, ...] | None, known: DataFrame | None = None) -> DataFrame:
+    """(chat, line) of live facts; of the standing predicates, or of all. ``known`` are all stored facts, if they have been made before."""
+    live = fact_ops.current(stored(spark, sf_dir, standing) if known is None else known, standing)
     return live.select(F.col("subject").alias("chat"), F.concat_ws(": ", "predicate", "object").alias("line"))
 
 
-def blocks(spark: SparkSession, sf_dir: str, u: DataFrame | None = None, gate_variant: str = "shipped", cut: float = C.relevance_cut, standing: tuple[str, ...] | None = P.standing, inject: bool = True, facts_failed: bool = False) -> DataFrame:
-    """One row for every block of the context of every user turn, or of those in ``u(chat, now, query)``.
-
-    ``inject`` tells whether facts are injected, ``standing`` which (None: all), ``facts_failed`` that they could not be read, which the context
-    then says. The gate's variant and the cut of relevance decide what is retrieved."""
-    u, b = asked(spark, sf_dir) if u is None else u, memory.block
-    t = turns(spark, sf_dir)
-    now = u.select("chat", "now")
-    few = t.groupBy("chat").agg((F.count("*") <= C.window_turns).alias("first_chat"))
-    if facts_failed:
-        facts = now.select(*b("known_facts", 2.5, "chat", F.lit(FAILED)))
-    else:
-        known = evidence_facts(spark, sf_dir, standing).groupBy("chat").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("known"))
-        facts_text = F.coalesce("known", F.when(F.col("first_chat"), "(none yet)\nThis is the first conversation.").otherwise("(none yet)"))
-        facts = now.join(known, "chat", "left").join(few, "chat").select(*b("known_facts", 2.5, "chat", facts_text))
+def carried(spark: SparkSession, sf_dir: str, u: DataFrame) -> list[DataFrame]:
+    """The blocks of ``u(chat, now, query)`` that no setting changes."""
+    t, b, now = turns(spark, sf_dir), memory.block, u.select("chat", "now")
     state = t.where("role = 'system'").groupBy("chat").agg(F.max(F.struct("seq", "text"))["text"].alias("text"))
     character, (digest, gone) = characters(spark, sf_dir), digests(spark, sf_dir)
     fresh = fact_ops.without_stale(digest, gone)
-    reason = gated(spark, sf_dir).where(F.col("variant") == gate_variant).where(gate.opens(F.col("reason"))).select("chat", "now")
-    config = replace(C, relevance_cut=cut)
-    hits = memory.retrieved(u.join(reason, ["chat", "now"], "left_semi"), items(spark, sf_dir), C.top_k, config)
-    r = memory.lines(memory.recent(t, C), F.col("seq"), F.concat_ws(": ", "role", "text"))
-    owed = memory.lines(due(spark, sf_dir), F.col("setup"), F.concat(F.lit("- owed since turn "), F.col("setup").cast("string")))
-    return memory.assembled([
+    r = memory.lines(memory.recent(t, C, now), F.col("seq"), F.concat_ws(": ", "role", "text"))
+    owed = memory.lines(due(spark, sf_dir).join(now, ["chat", "now"], "left_semi"), F.col("setup"), F.concat(F.lit("- owed since turn "), F.col("setup").cast("string")))
+    return [
         now.select(*b("system", 0, "global", F.lit("Play the character. Do not leave the setting."))),
         now.join(character, "chat").select(*b("persona", 1, "character", F.col("persona"))),
         now.join(character, "chat").select(*b("speech_rules", 1, "character", F.col("speech"))),
-        *([facts] if inject else []),
         now.join(relationships(spark, sf_dir), "chat", "left").select(*b("relationship", 3, "chat", F.coalesce("line", F.lit("stage=none affinity=0 called_as=you")))),
         now.join(fresh.where("kind = 'lifetime'"), "chat").select(*b("digest:lifetime", 4, "chat", F.col("text"))),
         now.join(fresh.where("kind = 'recent'"), "chat").select(*b("digest:recent", 5, "chat", F.col("text"))),
         now.join(state, "chat").select(*b("scene", 7, "chat", F.col("text"))),
-        r.join(now, ["chat", "now"], "left_semi").select(*b("recent", 8, "chat", F.col("text"))),
-        owed.join(now, ["chat", "now"], "left_semi").select(*b("debt", 8.5, "chat", F.col("text"))),
-        memory.lines(hits, F.col("rank"), F.concat(F.lit("[memory] "), F.col("summary"))).select(*b("retrieved", 9, "chat", F.col("text"))),
+        r.select(*b("recent", 8, "chat", F.col("text"))),
+        owed.select(*b("debt", 8.5, "chat", F.col("text"))),
         u.select(*b("utterance", 10, "chat", F.col("query"))),
-    ])
+    ]
+
+
+def facts_block(spark: SparkSession, sf_dir: str, u: DataFrame, standing: tuple[str, ...] | None = P.standing, known: DataFrame | None = None) -> DataFrame:
+    few = turns(spark, sf_dir).groupBy("chat").agg((F.count("*") <= C.window_turns).alias("first_chat"))
+    told = evidence_facts(spark, sf_dir, standing, known).groupBy("chat").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("known"))
+    text = F.coalesce("known", F.when(F.col("first_chat"), "(none yet)\nThis is the first conversation.").otherwise("(none yet)"))
+    return u.select("chat", "now").join(told, "chat", "left").join(few, "chat").select(*memory.block("known_facts", 2.5, "chat", text))
+
+
+def found_block(spark: SparkSession, sf_dir: str, u: DataFrame, gate_variant: str = "shipped", cut: float = C.relevance_cut) -> DataFrame:
+    """What the gate lets the utterances bring back."""
+    reason = gated(spark, sf_dir, (gate_variant,), u.select("chat", "now")).where(gate.opens(F.col("reason"))).select("chat", "now")
+    hits = memory.retrieved(u.join(reason, ["chat", "now"], "left_semi"), items(spark, sf_dir), C.top_k, replace(C, relevance_cut=cut))
+    return memory.lines(hits, F.col("rank"), F.concat(F.lit("[memory] "), F.col("summary"))).select(*memory.block("retrieved", 9, "chat", F.col("text")))
+
+
+def blocks(spark: SparkSession, sf_dir: str, u: DataFrame | None = None, gate_variant: str = "shipped", cut: float = C.relevance_cut, standing: tuple[str, ...] | None = P.standing, inject: bool = True, facts_failed: bool = False) -> DataFrame:
+    """One row for every block of the context of every user turn, or of those in ``u(chat, now, query)``.
+
+    ``inject`` tells whether facts are injected, ``standing`` which (None: all), ``facts_failed`` that they could not be read, which the context
+    then says. The gate's variant and the cut of relevance decide what is retrieved."""
+    u = asked(spark, sf_dir) if u is None else u
+    facts = u.select(*memory.block("known_facts", 2.5, "chat", F.lit(FAILED))) if facts_failed else facts_block(spark, sf_dir, u, standing)
+    return memory.assembled([*carried(spark, sf_dir, u), *([facts] if inject else []), found_block(spark, sf_dir, u, gate_variant, cut)])
 
 
 def blocks_sql(name: str = "blocks", only: str = "SELECT chat, now, text FROM ut", gate_variant: str = "shipped", cut: float = C.relevance_cut, standing: tuple[str, ...] | None = P.standing, inject: bool = True) -> str:
@@ -266,7 +275,7 @@ fb AS (SELECT chat, now, min(volatility) FILTER (WHERE NOT same) AS broken FROM
 SELECT chat, now, sum(tokens)::BIGINT AS tokens, coalesce(sum(tokens) FILTER (WHERE volatility < coalesce(broken, 99)), 0)::BIGINT AS stable_tokens FROM sm JOIN fb USING (chat, now) GROUP BY ALL""")
 def prefix_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the leading blocks that did not change since the user's last turn."""
-    b = blocks(spark, sf_dir)
+    b = saved(blocks(spark, sf_dir), "blocks")
     w = Window.partitionBy("chat").orderBy("now")
     before = asked(spark, sf_dir).select("chat", "now").withColumn("before", F.lag("now").over(w)).where("before IS NOT NULL")
     old = b.select("chat", F.col("now").alias("before"), "name", F.col("text").alias("old"))
@@ -290,6 +299,7 @@ def replay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token percentiles over all contexts, shapes of the facts block, contexts with memory."""
     b = blocks(spark, sf_dir)
     per = b.groupBy("chat", "now").agg(F.sum("tokens").alias("tokens"), F.max(F.when(F.col("name") == "known_facts", F.col("text"))).alias("facts"), F.max((F.col("name") == "retrieved").cast("int")).alias("memory"))
+    per = saved(per, "contexts")
     n = per.agg(F.count("*").alias("contexts"), F.median("tokens").alias("median"), F.count_distinct("facts").alias("fact_shapes"), F.sum("memory").alias("with_memory"))
     return n.join(place_percentiles(per, "tokens", (50, 95)))  # one row each
 

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import memory
 from .base import Book, saved, table
 from .context import ORACLES as CONTEXT
-from .context import SHARED, asked, blocks, blocks_sql, evidence_facts, items, prefix_stability, turns
+from .context import SHARED, asked, blocks, blocks_sql, carried, evidence_facts, facts_block, found_block, items, prefix_stability, turns
 from .facts import stored
 
 book = Book()
@@ -29,9 +29,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     """(chat, evidence, accepted): ids of evidence and the strings that stand for them."""
-    line = evidence_facts(spark, sf_dir, C.pack.standing).withColumn("predicate", F.substring_index("line", ":", 1))
+    line = evidence_facts(spark, sf_dir, C.pack.standing, known).withColumn("predicate", F.substring_index("line", ":", 1))
     facts = line.groupBy("chat", "predicate").agg(F.min("line").alias("line")).select("chat", F.concat(F.lit("fact:"), "predicate").alias("evidence"), F.array("line", F.concat(F.lit("the "), F.regexp_replace("line", ": ", " is "))).alias("accepted"))
     it = items(spark, sf_dir).join(questions(spark, sf_dir).select("chat", "now"), "chat").where("item < now")
     best = Window.partitionBy("chat").orderBy(F.desc(F.greatest("importance", "emotion")), "item")
@@ -39,15 +39,29 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.unionByName(events)
 
 
-def reach(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    """(chat, n_want, n_found, ok, via_facts, trapped, tokens) of every chat's question, in contexts that are put together as ``how`` tells."""
-    b = saved(blocks(spark, sf_dir, questions(spark, sf_dir), **how), "reach")
-    whole = memory.rendered(b).select("chat", "context", "tokens")
-    known = b.where("name = 'known_facts'").select("chat", F.col("text").alias("facts"))
-    trap = evidence_facts(spark, sf_dir, (TRAP,)).groupBy("chat").agg(F.min("line").alias("trap"))
+def reach(spark: SparkSession, sf_dir: str, settings: dict[str, dict]) -> DataFrame:
+    """(setting, chat, n_want, n_found, ok, via_facts, trapped, tokens) of every chat's question, in contexts that are put together as each setting tells.
+
+    Facts, evidence and the blocks that no setting changes are made once, what is brought back once for each gate and cut."""
+    u, known = saved(questions(spark, sf_dir), "questions"), saved(stored(spark, sf_dir), "facts")
+    same = saved(memory.assembled(carried(spark, sf_dir, u)), "carried")
+    trap = evidence_facts(spark, sf_dir, (TRAP,), known).groupBy("chat").agg(F.min("line").alias("trap"))
+    wanted = saved(u.select("chat").join(trap, "chat", "left").join(evidence(spark, sf_dir, known), "chat", "left"), "wanted")
+    found: dict[tuple, DataFrame] = {}
+    every = None
+    for name, how in settings.items():
+        search = {k: how[k] for k in ("gate_variant", "cut") if k in how}
+        key = tuple(search.items())
+        if key not in found:
+            found[key] = saved(memory.assembled([found_block(spark, sf_dir, u, **search)]), "found")
+        b = same.unionByName(found[key])
+        if how.get("inject", True):
+            b = b.unionByName(memory.assembled([facts_block(spark, sf_dir, u, how.get("standing", C.pack.standing), known)]))
+        whole = memory.rendered(b, F.max(F.when(F.col("name") == "known_facts", F.col("text"))).alias("facts")).select(F.lit(name).alias("setting"), "chat", "tokens", "context", "facts")
+        every = whole if every is None else every.unionByName(whole)
     holds = lambda text: F.exists("accepted", lambda a: F.coalesce(F.col(text), F.lit("")).contains(a))
-    per = whole.join(known, "chat", "left").join(trap, "chat", "left").join(evidence(spark, sf_dir), "chat", "left").withColumn("found", F.coalesce(holds("context"), F.lit(False))).withColumn("in_facts", F.coalesce(holds("facts"), F.lit(False)))
-    per = per.groupBy("chat", "tokens").agg(F.count("evidence").alias("n_want"), F.count_if("found").alias("n_found"), F.max("in_facts").alias("via_facts"), F.max(F.coalesce(F.col("context").contains(F.col("trap")), F.lit(False))).alias("trapped"))
+    per = every.join(wanted, "chat", "left").withColumn("found", F.coalesce(holds("context"), F.lit(False))).withColumn("in_facts", F.coalesce(holds("facts"), F.lit(False)))
+    per = per.groupBy("setting", "chat", "tokens").agg(F.count("evidence").alias("n_want"), F.count_if("found").alias("n_found"), F.max("in_facts").alias("via_facts"), F.max(F.coalesce(F.col("context").contains(F.col("trap")), F.lit(False))).alias("trapped"))
     return per.withColumn("ok", (F.col("n_want") > 0) & (F.col("n_found") == F.col("n_want")))
 
 
@@ -68,7 +82,7 @@ def reach_sql(name: str, **how) -> str:
 @book.query(f"{SHARED}, {EVIDENCE}, {reach_sql('qa')} SELECT chat, n_want, n_found, ok, via_facts, tokens FROM qa")
 def qa_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a question's evidence its context holds, and whether through the injected facts."""
-    return reach(spark, sf_dir).select("chat", "n_want", "n_found", "ok", "via_facts", "tokens")
+    return reach(spark, sf_dir, {"shipped": {}}).select("chat", "n_want", "n_found", "ok", "via_facts", "tokens")
 
 
 @book.query(f"{SHARED}, {EVIDENCE}, {blocks_sql('bl', QUESTIONS, standing=None)} SELECT chat, name FROM bl JOIN tr USING (chat) WHERE contains(text, trap)")
@@ -87,10 +101,7 @@ CELLS = {f"{variant}_{cut}": {"gate_variant": variant, "cut": cut} for variant i
 
 def compared(spark: SparkSession, sf_dir: str, settings: dict[str, dict]) -> DataFrame:
     """One row a setting: questions with evidence, those whose evidence is all reached, those reached by search, contexts with the trap, and the middle number of tokens."""
-    every = None
-    for name, how in settings.items():
-        r = reach(spark, sf_dir, **how).withColumn("setting", F.lit(name))
-        every = r if every is None else every.unionByName(r)
+    every = reach(spark, sf_dir, settings)
     return every.groupBy("setting").agg(F.count_if(F.col("n_want") > 0).alias("questions"), F.count_if("ok").alias("reached"), F.count_if(F.col("ok") & ~F.col("via_facts")).alias("by_search"), F.count_if("trapped").alias("traps"), F.median("tokens").alias("median_tokens"))
 
 
@@ -129,13 +140,14 @@ def event_counts_sql(name: str, standing) -> str:
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose memory blocks bring up the trap or a superseded fact, retrieved items that are no evidence, and forms of the facts block."""
     lines = lambda f: f.select(F.col("subject").alias("chat"), F.concat_ws(": ", "predicate", "object").alias("line"))
-    known = stored(spark, sf_dir)
+    u, known = asked(spark, sf_dir), saved(stored(spark, sf_dir), "facts")
     old = lines(known.where("valid_until IS NOT NULL")).groupBy("chat").agg(F.collect_set("line").alias("old"))  # a chat's superseded facts
-    trap = evidence_facts(spark, sf_dir, (TRAP,)).groupBy("chat").agg(F.min("line").alias("trap"))
-    best = evidence(spark, sf_dir).where("evidence LIKE 'event:%'").select("chat", F.concat(F.lit("[memory] "), F.col("accepted")[0]).alias("best"))
+    trap = evidence_facts(spark, sf_dir, (TRAP,), known).groupBy("chat").agg(F.min("line").alias("trap"))
+    best = evidence(spark, sf_dir, known).where("evidence LIKE 'event:%'").select("chat", F.concat(F.lit("[memory] "), F.col("accepted")[0]).alias("best"))
+    same = saved(memory.assembled([*carried(spark, sf_dir, u), found_block(spark, sf_dir, u)]).where(F.col("name").isin(*MEMORY)), "blocks")  # facts change nothing here
     every = None
     for name, standing in COUNTED.items():
-        b = blocks(spark, sf_dir, standing=standing)
+        b = same.unionByName(memory.assembled([facts_block(spark, sf_dir, u, standing, known)]))
         of = lambda n, b=b: F.max(F.when(F.col("name") == n, F.col("text")))
         in_order = F.sort_array(F.collect_list(F.when(F.col("name").isin(*MEMORY), F.struct("volatility", "name", "text"))))
         m = b.groupBy("chat", "now").agg(F.array_join(F.transform(in_order, lambda x: x["text"]), "\n").alias("mem"), of("known_facts").alias("known"), of("retrieved").alias("found"))

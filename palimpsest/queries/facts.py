@@ -24,12 +24,14 @@ def statements(events: DataFrame) -> DataFrame:
     )
 
 
-def acted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.actions(statements(table(spark, sf_dir, "events")), C)
+def acted(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
+    said = statements(table(spark, sf_dir, "events"))
+    return ops.actions(said.where(F.col("predicate").isin(*predicates)) if predicates else said, C)
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.history(acted(spark, sf_dir), C)
+def stored(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
+    """All facts, or those of some predicates; a predicate is part of a fact's key, so no other statement bears on them."""
+    return ops.history(acted(spark, sf_dir, predicates), C)
 
 
 TOL = f"CASE WHEN predicate = 'view' THEN {C.tolerance['high']} WHEN predicate = 'signup' THEN {C.tolerance['low']} ELSE {C.tolerance['mid']} END::DOUBLE"

@@ -514,3 +514,17 @@ def test_the_search_of_many_chats_counts_few_pairs_at_once():
     q, d = {(c, s): set(x) for c, s, x in zip(chat, seq, queries.column("q").to_pylist())}, {(c, s): set(x) for c, s, x in zip(chat, seq, items.column("d").to_pylist())}
     assert all(row["shared"] == len(q[row["chat"], row["now"]] & d[row["chat"], row["item"]]) for row in found.to_pylist()) and len(found) >= chats * (turns - 5) * 5
     assert peak < 150e6
+
+
+def test_settings_share_what_none_of_them_changes(spark, data, monkeypatch):
+    """However many settings are compared, facts are folded once, and only the windows of the questions are put together."""
+    from palimpsest.queries import context, evaluation
+
+    folds, windows = [], []
+    real_stored, real_recent = evaluation.stored, memory.recent
+    for module in (context, evaluation):
+        monkeypatch.setattr(module, "stored", lambda *a: folds.append(a) or real_stored(*a))
+    monkeypatch.setattr(memory, "recent", lambda *a: windows.append(real_recent(*a)) or windows[-1])
+    assert evaluation.ablation(spark, data).count() == 4
+    assert len(folds) == 1 and len(windows) == 1
+    assert windows[0].select("chat", "now").distinct().count() <= evaluation.questions(spark, data).count()
