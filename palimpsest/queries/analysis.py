@@ -211,9 +211,9 @@ TAUS, KS, THETAS = (0.0, 0.2, 0.4, 0.6), (1, 3, 5, 10), (0.0, 0.15, 0.4, 0.7)
 GRID = [(t, k, h) for t in TAUS for k in KS for h in THETAS]
 
 
-def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tau, k, theta, hits, noise, tokens) of the retriever over a grid of parameters, in one plan."""
-    probes = saved(gold(spark, sf_dir), "gold")
+def swept(spark: SparkSession, sf_dir: str, probes: DataFrame | None = None) -> DataFrame:
+    """(tau, k, theta, hits, noise, tokens) of the retriever over a grid of parameters, in one plan. ``probes`` are the gold pairs, if they are known."""
+    probes = saved(gold(spark, sf_dir), "gold") if probes is None else probes
     rel = ops.normalised(scores(spark, sf_dir).join(probes, "query_id", "left_semi").join(importance(spark, sf_dir), "doc_id")).withColumn("relevance", F.round("relevance", 6))
     rel = rel.withColumn("s", F.round(C.relevance_weight * F.col("relevance") + C.importance_weight * F.col("importance"), 6))
     rel = rel.join(probes.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").join(table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens")), "doc_id")
@@ -253,7 +253,8 @@ def knee(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.query(f"{SWEEP}, a AS (SELECT *, hits / (SELECT count(*) FROM pr) AS recall FROM sw), b AS (SELECT * FROM a WHERE recall >= (SELECT max(recall) FROM a) - 0.005) SELECT tau, k, theta, hits, noise FROM b ORDER BY noise, tokens, tau, k, theta LIMIT 1")
 def pareto_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the settings within half a point of the best recall, the one with the least noise."""
-    n = gold(spark, sf_dir).agg(F.count_distinct("query_id").alias("n"))
-    a = swept(spark, sf_dir).join(n).withColumn("recall", F.col("hits") / F.col("n"))  # one row
+    probes = saved(gold(spark, sf_dir), "gold")
+    n = probes.agg(F.count_distinct("query_id").alias("n"))
+    a = swept(spark, sf_dir, probes).join(n).withColumn("recall", F.col("hits") / F.col("n"))  # one row
     top = a.withColumn("top", F.max("recall").over(Window.partitionBy(F.lit(0))))  # one row a setting
     return top.where("recall >= top - 0.005").orderBy("noise", "tokens", "tau", "k", "theta").limit(1).select("tau", "k", "theta", "hits", "noise")

@@ -537,3 +537,11 @@ def test_texts_come_in_small_batches_to_the_search_for_passages(spark):
     found = retrieval.holding(docs, spark.createDataFrame([(1, "says so 7"), (2, "so 1499")], "query_id long, passage string"))
     assert found.groupBy("query_id").count().orderBy("query_id").collect() == [(1, 111), (2, 1)]
     assert int(spark.conf.get(name)) <= retrieval.TEXTS
+
+
+def test_the_best_setting_looks_for_passages_once(spark, data, monkeypatch):
+    from palimpsest.queries import analysis
+
+    calls, real = [], analysis.gold
+    monkeypatch.setattr(analysis, "gold", lambda *a: calls.append(a) or real(*a))
+    assert analysis.pareto_pick(spark, data).count() == 1 and len(calls) == 1
