@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import LATIN, RulePack
 
 #: Characters that may stand at either end of a word.
-EDGE = r"^[.,?!…~]+|[.,?!…~]+$"
+MARKS = ".,?!…~"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
@@ -20,7 +20,7 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Words between white space, without marks at their ends; none is empty."""
     split = F.split(F.coalesce(text, F.lit("")), r"\s+")
-    return F.filter(F.transform(split, lambda w: F.regexp_replace(w, EDGE, "")), lambda w: w != "")
+    return F.filter(F.transform(split, lambda w: F.btrim(w, F.lit(MARKS))), lambda w: w != "")
 
 
 def raw_words(text: Column) -> Column:
