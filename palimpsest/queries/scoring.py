@@ -14,7 +14,7 @@ from . import context
 from .analysis import ARMS, arms
 from .base import Book, table
 from .context import items, turns
-from .retrieval import BM25, corpus, gold, scores
+from .retrieval import BM25, best, corpus, gold, indexed, scores
 from .texts import LAST, SQL_RAW, SQL_ROOTS, stems_cte
 
 book = Book()
@@ -201,8 +201,8 @@ o AS (SELECT g.query_id, max((coalesce(r.rank, 99999) <= 5)::INT) AS a, max((coa
 SELECT count(*) AS questions, sum(a)::BIGINT AS bm25, sum(b)::BIGINT AS containment, abs(sum(a) - sum(b))::BIGINT AS range, count(*) FILTER (WHERE a <> b) AS flipped FROM o""")
 def run_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two runs with different rankings differ, in sum and question by question."""
-    index, asked, docs = corpus(spark, sf_dir)
-    runs = {"a": ops.ranked(ops.bm25(index, asked, DEFAULT, docs=docs), 5), "b": ops.ranked(ops.overlap(index, asked), 5)}
+    index, asked = indexed(spark, sf_dir)
+    runs = {name: ops.ranked(ops.contenders(index, asked, 5, bm25, DEFAULT), 5) for name, bm25 in (("a", True), ("b", False))}
     o = gold(spark, sf_dir)
     for name, r in runs.items():
         o = o.join(r.select("query_id", "doc_id", F.lit(1).alias(name)), ["query_id", "doc_id"], "left")
