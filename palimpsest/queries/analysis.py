@@ -9,7 +9,7 @@ from ..config import DEFAULT
 from ..functions import text as T
 from ..operators import retrieval as ops
 from .base import Book, saved, table
-from .retrieval import BM25, corpus, gold, importance, scores
+from .retrieval import BM25, best_by_importance, corpus, gold, importance, indexed, scores
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -32,7 +32,7 @@ def arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(arm, query_id, doc_id) picks of the seven policies that pick documents one by one, and the gold pairs; what is picked twice stays twice."""
     docs, g = documents(spark, sf_dir), saved(gold(spark, sf_dir), "gold")
     probes = g.select("query_id").distinct()
-    scored = saved(scores(spark, sf_dir).join(probes, "query_id", "left_semi"), "scores")
+    scored = saved(best_by_importance(spark, sf_dir, C.top_k, probes=probes), "scores")
     ranked = ops.ranked(scored)
     known = scored.join(importance(spark, sf_dir), "doc_id")
     labelled = ops.ranked(known)
@@ -214,7 +214,7 @@ GRID = [(t, k, h) for t in TAUS for k in KS for h in THETAS]
 def swept(spark: SparkSession, sf_dir: str, probes: DataFrame | None = None) -> DataFrame:
     """(tau, k, theta, hits, noise, tokens) of the retriever over a grid of parameters, in one plan. ``probes`` are the gold pairs, if they are known."""
     probes = saved(gold(spark, sf_dir), "gold") if probes is None else probes
-    rel = ops.normalised(scores(spark, sf_dir).join(probes, "query_id", "left_semi").join(importance(spark, sf_dir), "doc_id")).withColumn("relevance", F.round("relevance", 6))
+    rel = ops.normalised(best_by_importance(spark, sf_dir, max(KS), labelled=True, probes=probes)).withColumn("relevance", F.round("relevance", 6))
     rel = rel.withColumn("s", F.round(C.relevance_weight * F.col("relevance") + C.importance_weight * F.col("importance"), 6))
     rel = rel.join(probes.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").join(table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens")), "doc_id")
     cuts = F.array(*(F.struct(F.lit(t).alias("tau"), F.lit(h).alias("theta")) for t in TAUS for h in THETAS))
