@@ -14,7 +14,7 @@ from . import context
 from .analysis import ARMS, arms
 from .base import Book, table
 from .context import items, turns
-from .retrieval import BM25, best, corpus, gold, indexed, scores
+from .retrieval import BM25, best, gold, indexed
 from .texts import LAST, SQL_RAW, SQL_ROOTS, stems_cte
 
 book = Book()
@@ -149,7 +149,7 @@ x AS (SELECT query_id, rank, contains(aa.whole, gg.whole) AS one, len(list_filte
 SELECT query_id, rank, CASE WHEN one OR share = 1 THEN TRUE WHEN share > 0 THEN NULL ELSE FALSE END AS ok FROM x""")
 def score_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule scorer: the three best documents as answers to a passage; null is left to a person."""
-    top = ops.ranked(scores(spark, sf_dir), 3).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("query_id", "rank", S.stems(F.col("text")).alias("a"))
+    top = F.broadcast(ops.ranked(best(spark, sf_dir, 3), 3)).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("query_id", "rank", S.stems(F.col("text")).alias("a"))
     g = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), S.stems(F.col("text")).alias("g"))
     both = top.join(g, "query_id").withColumn("whole", F.array_join("a", ""))
     return both.select("query_id", "rank", S.verdict(F.col("g"), F.array(F.col("whole"))).alias("ok"))
