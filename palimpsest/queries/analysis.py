@@ -9,7 +9,7 @@ from ..config import DEFAULT
 from ..functions import text as T
 from ..operators import retrieval as ops
 from .base import Book, saved, table
-from .retrieval import BM25, best_by_importance, corpus, gold, importance, indexed, scores
+from .retrieval import BM25, best_by_importance, corpus, gold, indexed
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -34,7 +34,7 @@ def arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     probes = g.select("query_id").distinct()
     scored = saved(best_by_importance(spark, sf_dir, C.top_k, probes=probes), "scores")
     ranked = ops.ranked(scored)
-    known = scored.join(importance(spark, sf_dir), "doc_id")
+    known = scored.where("importance IS NOT NULL")
     labelled = ops.ranked(known)
     rel = ops.normalised(known).withColumn("relevance", F.round("relevance", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id")
@@ -97,15 +97,14 @@ def arm_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What the full arm takes is the same for every probe, so it is summed once and no probe meets a document."""
     session = F.floor(F.col("doc_id") / SITTING).alias("session")
-    index, asked, docs = corpus(spark, sf_dir)
+    index, asked = indexed(spark, sf_dir)
     g = saved(gold(spark, sf_dir), "gold").distinct()
     sizes = table(spark, sf_dir, "documents").select("doc_id", session, T.tokens(F.col("text")).alias("tokens"))
     probes = g.groupBy("query_id").agg(F.count("*").alias("hits"))
     whole = sizes.agg(F.count("*").alias("picked"), F.sum("tokens").alias("tokens"))  # one row
     full = probes.crossJoin(whole).select(F.lit("full").alias("arm"), "picked", "hits", "tokens")
-    sessions = index.groupBy(session, "term").agg(F.sum("tf").alias("tf"))
-    lengths = docs.groupBy(session).agg(F.sum("dl").alias("dl"))
-    best = ops.ranked(ops.bm25(sessions, asked.join(probes, "query_id", "left_semi"), C, key="session", docs=lengths), SESSIONS, key="session").select("query_id", "session")
+    sessions = saved(ops.merged(index, session, "session").withColumn("n", F.lit(1).cast("long")), "sessions")
+    best = ops.ranked(ops.contenders(sessions, asked.join(probes, "query_id", "left_semi"), SESSIONS, config=C, key="session"), SESSIONS, key="session").select("query_id", "session")
     of_session = sizes.groupBy("session").agg(F.count("*").alias("picked"), F.sum("tokens").alias("tokens"))
     found = g.groupBy("query_id", session).agg(F.count("*").alias("hits"))
     picked = best.join(of_session, "session").join(found, ["query_id", "session"], "left").groupBy("query_id").agg(F.sum("picked").alias("picked"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits"), F.sum("tokens").alias("tokens"))
